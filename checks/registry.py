@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeforge.constants import ROUTE_KEYS, SHAPE_FEATURES
-from routeforge.operators import routes, tracking
-from routeforge.session import tune
+from checks.views_sql import ZONE_SQL
+from routeforge.constants import PLAY_KEYS, ROUTE_KEYS, SHAPE_FEATURES
+from routeforge.operators import (
+    analysis,
+    encoding,
+    metrics,
+    playbook,
+    receivers,
+    routes,
+    tracking,
+    views,
+    zones,
+)
+from routeforge.session import stage_table, tune
 from routeforge.sources.season import Season
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,10 +42,13 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round the doubles that depend on summation order."""
+def rounded(df: DataFrame, places: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Round the doubles that depend on summation order; those in ``keep`` are exact."""
     return df.select(
-        *[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[
+            F.round(c, places).alias(c) if t == "double" and c not in keep else F.col(c)
+            for c, t in df.dtypes
+        ]
     )
 
 
@@ -159,3 +173,552 @@ def quadratic_fit(s):
 @query(f"""SELECT week, "gameId", "playId", "nflId", {_SHAPE_SQL} FROM features""")
 def route_features(s):
     return _round_shape(routes.route_features(_weighted_routes(s)))
+
+
+# ---- clusters and zones -----------------------------------------------------------------
+
+ZONE_NUMBERS = [
+    "relative_x_min", "relative_x_max", "relative_x_mean",
+    "relative_y_min", "relative_y_max", "relative_y_mean",
+    "route_frameId_mean", "route_time_mean",
+]
+_ZONE_COLS = ", ".join(f'round("{c}", 9) AS "{c}"' for c in ZONE_NUMBERS)
+
+
+@query(
+    f"""SELECT "routeRan", {_ZONE_COLS} FROM ({ZONE_SQL.format(key='"routeRan"', rows="arrived")})"""
+)
+def route_name_zones(s):
+    """Where and when passes arrive on each charted route."""
+    frames = zones.arrival_frames(tracking.standard_routes(s.tracking(), s.player_play()), s.player_play())
+    return rounded(zones.widen_zones(zones.zone_bounds(frames, ["routeRan"])), 9)
+
+
+@query("""SELECT "gameId", "playId", "nflId", cluster FROM assigned""")
+def cluster_assign(s):
+    features = stage_table(routes.route_features(_weighted_routes(s)), "route-features")
+    exemplars = stage_table(zones.first_exemplars(features, s.player_play()), "exemplars")
+    return zones.nearest_exemplar(features, exemplars).select(*ROUTE_KEYS, "cluster")
+
+
+@query("""SELECT cluster, route_mode FROM modes""")
+def cluster_route_mode(s):
+    return zones.cluster_modes(s.player_play(), s.clusters())
+
+
+def _zones(s):
+    frames = zones.with_clusters(tracking.standard_routes(s.tracking(), s.player_play()), s.clusters())
+    return stage_table(zones.reception_zones(s.player_play(), frames), "zones")
+
+
+@query(f"""SELECT cluster, {_ZONE_COLS} FROM zones""")
+def reception_zones(s):
+    return rounded(_zones(s), 9)
+
+
+def _complete(s):
+    return zones.complete_plays(s.player_play(), s.clusters())
+
+
+@query("""SELECT "gameId", "playId" FROM complete""")
+def complete_plays(s):
+    return _complete(s)
+
+
+@query("""SELECT count(*) AS incomplete_plays FROM coverage WHERE NOT complete""")
+def incomplete_play_count(s):
+    return zones.incomplete_play_count(s.player_play(), s.clusters())
+
+
+@query("""SELECT cluster, count(*) AS count FROM clusters GROUP BY cluster ORDER BY count DESC, cluster LIMIT 10""")
+def largest_clusters(s):
+    return zones.largest_clusters(s.clusters())
+
+
+# ---- labels and features ----------------------------------------------------------------
+
+
+def _labels(s):
+    return receivers.open_labels(_complete(s), s.plays(), s.player_play())
+
+
+@query("""SELECT "gameId", "playId", "nflId", orpsp_target FROM open_labels""")
+def orpsp_target(s):
+    return _labels(s)
+
+
+@query("""SELECT orpsp_target, count(*) AS count FROM open_labels GROUP BY orpsp_target""")
+def label_counts(s):
+    return receivers.label_counts(_labels(s))
+
+
+@query("""SELECT * FROM play_feats""")
+def play_features(s):
+    return receivers.play_features(_complete(s), s.plays())
+
+
+def _cluster_features(s):
+    modes = zones.cluster_modes(s.player_play(), s.clusters())
+    return receivers.cluster_features(_complete(s), s.clusters(), modes, _zones(s))
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", cluster, route_mode, round(relative_x_mean, 6) AS relative_x_mean,
+    round(relative_y_mean, 6) AS relative_y_mean, round(route_time_mean, 6) AS route_time_mean FROM cluster_feats"""
+)
+def cluster_features(s):
+    return rounded(_cluster_features(s))
+
+
+@query(
+    """SELECT t."gameId", t."playId", t."nflId", d.route_left, count(*) AS frames, min(x) AS x_low, max(y) AS y_high
+    FROM mirrored t JOIN complete USING ("gameId", "playId")
+    LEFT JOIN mirrored_direction d ON d."gameId" = t."gameId" AND d."playId" = t."playId" AND d."nflId" = t."nflId"
+    GROUP BY t."gameId", t."playId", t."nflId", d.route_left"""
+)
+def tracking_features(s):
+    frames = receivers.tracking_features(_complete(s), s.tracking())
+    return frames.groupBy(*ROUTE_KEYS, "route_left").agg(
+        F.count("*").alias("frames"), F.min("x").alias("x_low"), F.max("y").alias("y_high")
+    )
+
+
+def _starts(s):
+    """Start rows of complete plays; the frames are reduced first, then restricted."""
+    starts = receivers.start_features(tracking.mirror_left_plays(s.tracking()))
+    return zones.on_plays(_complete(s), starts)
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", "frameId", "playDirection", x, y, o, route_left, x_ball, y_ball FROM starts"""
+)
+def start_features(s):
+    return _starts(s).select(
+        *ROUTE_KEYS, "frameId", "playDirection", "x", "y", "o", "route_left", "x_ball", "y_ball"
+    )
+
+
+def _receiver_rows(s):
+    rows = receivers.receiver_rows(
+        receivers.play_features(_complete(s), s.plays()), _cluster_features(s), _starts(s), s.players()
+    )
+    return stage_table(rows, "receiver-rows")
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", round(line, 6) AS "absoluteYardlineNumber",
+    round(x_recep_zone, 6) AS x_recep_zone, round(y_recep_zone, 6) AS y_recep_zone FROM receiver_rows"""
+)
+def absolute_zone(s):
+    return rounded(
+        _receiver_rows(s).select(*ROUTE_KEYS, "absoluteYardlineNumber", "x_recep_zone", "y_recep_zone")
+    )
+
+
+GEOMETRY = [
+    "dis_recep_zone", "dir_recep_zone", "recep_zone_dis_out_of_bounds", "recep_zone_dis_yard_line",
+    "dis_ball_to_recep_zone", "dir_ball_to_recep_zone", "dis_out_of_bounds", "dis_back_of_endzone", "dis_yard_line",
+]
+_GEOMETRY_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in GEOMETRY)
+
+
+@query(f"""SELECT "gameId", "playId", "nflId", {_GEOMETRY_SQL} FROM geometry""")
+def geometry_features(s):
+    return rounded(receivers.geometry_features(_receiver_rows(s)).select(*ROUTE_KEYS, *GEOMETRY))
+
+
+@query("""SELECT * FROM route_counts""")
+def play_route_counts(s):
+    return receivers.play_route_counts(_receiver_rows(s))
+
+
+COUNTS = [
+    "nb_early45angle", "nb_flat", "nb_90angle", "nb_late45angle", "nb_shortstraight", "nb_wheelangle",
+    "nb_screen", "nb_straight", "nb_routes", "nb_recep_zone_negative", "nb_recep_zone_5",
+    "nb_recep_zone_10", "nb_recep_zone_20", "nb_recep_zone_inf",
+]
+CONTEXT = ["down", "yardsToGo", "offenseFormation", "receiverAlignment", "playAction", "position", "route_mode"]
+_OPEN_SQL = ", ".join([*[f'"{c}"' for c in CONTEXT + COUNTS], "round(route_time_mean, 6) AS route_time_mean", _GEOMETRY_SQL])
+
+
+@query(f"""SELECT "gameId", "playId", "nflId", {_OPEN_SQL} FROM open_rows""")
+def orpsp_features(s):
+    rows = receivers.open_features(_receiver_rows(s))
+    return rounded(rows.select(*ROUTE_KEYS, *CONTEXT, *COUNTS, "route_time_mean", *GEOMETRY))
+
+
+_CODED = ["offenseFormation", "receiverAlignment", "playAction", "passResult"]
+_CODE_SQL = ", ".join(
+    f"""CAST(dense_rank() OVER (ORDER BY CAST("{c}" AS VARCHAR) NULLS LAST) - 1 AS DOUBLE) AS "{c}" """ for c in _CODED
+)
+
+
+@query(f"""SELECT "gameId", "playId", {_CODE_SQL} FROM plays""")
+def ordinal_encode(s):
+    plays = s.plays().select(*PLAY_KEYS, *_CODED)
+    vocabulary = stage_table(encoding.fit_vocabulary(plays, _CODED), "vocabulary")
+    return encoding.encode(plays, vocabulary, _CODED)
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", ('0x' || substr(md5("gameId" || '|' || "playId" || '|' || "nflId" || '|0'), 1, 8))::BIGINT % 10 < 3
+    AS is_test FROM open_labels"""
+)
+def hash_split(s):
+    return encoding.split(_labels(s), ROUTE_KEYS).select(*ROUTE_KEYS, "is_test")
+
+
+# ---- model quality ----------------------------------------------------------------------
+
+
+def _judged(s):
+    return _labels(s).join(s.scores(), ROUTE_KEYS).select(
+        F.col("orpsp_target").alias("label"),
+        (F.col("orpsp") >= 0.5).cast("int").alias("prediction"),
+        F.col("orpsp").alias("score"),
+    )
+
+
+@query("""SELECT label, prediction, count(*) AS n FROM judged GROUP BY label, prediction""")
+def confusion_matrix(s):
+    return metrics.confusion_matrix(_judged(s))
+
+
+@query("""SELECT round(avg(hits / support), 6) AS balanced_accuracy FROM by_class WHERE support > 0""")
+def balanced_accuracy(s):
+    return rounded(metrics.balanced_accuracy(_judged(s)))
+
+
+@query(
+    """SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+    CAST(support AS BIGINT) AS support FROM (
+    SELECT * FROM report
+    UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM report
+    UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+      sum(f1 * support) / sum(support), sum(support) FROM report)"""
+)
+def classification_report(s):
+    return rounded(metrics.classification_report(_judged(s)))
+
+
+@query(
+    """SELECT round(sum(neg * ((pos_to - pos) + pos / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM steps"""
+)
+def roc_auc(s):
+    return rounded(metrics.roc_auc(_judged(s)))
+
+
+@query(
+    """SELECT score AS threshold, round(neg_to / (SELECT sum(neg) FROM steps), 6) AS fpr,
+    round(pos_to / (SELECT sum(pos) FROM steps), 6) AS tpr FROM steps"""
+)
+def roc_curve(s):
+    return rounded(metrics.roc_curve(_judged(s)))
+
+
+@query("""SELECT round(sqrt(avg((label - score) * (label - score))), 6) AS rmse FROM judged""")
+def rmse(s):
+    return rounded(metrics.rmse(_judged(s), "label", "score"))
+
+
+# ---- season analysis --------------------------------------------------------------------
+
+
+@query(
+    """SELECT "teamAbbr", round(avg(win), 6) AS win FROM (
+    SELECT "homeTeamAbbr" AS "teamAbbr", CAST("homeFinalScore" > "visitorFinalScore" AS INT) AS win FROM games
+    UNION ALL SELECT "visitorTeamAbbr", CAST("homeFinalScore" < "visitorFinalScore" AS INT) FROM games)
+    GROUP BY "teamAbbr" """
+)
+def team_win_rate(s):
+    return rounded(analysis.team_win_rate(s.games()))
+
+
+def _quarterbacks(s):
+    named = s.players().filter(F.col("nflId").isin(10, 50)).select("displayName").collect()
+    return analysis.quarterbacks(s.player_play(), s.players(), [r[0] for r in named])
+
+
+@query("""SELECT "gameId", "playId", "nflId", "displayName", "position", duplicated FROM qbs""")
+def qb_per_play(s):
+    return _quarterbacks(s).select(*ROUTE_KEYS, "displayName", "position", "duplicated")
+
+
+def _targets(s):
+    return analysis.targeted_scores(s.scores(), s.player_play())
+
+
+def _teams(s):
+    return analysis.team_stats(_targets(s))
+
+
+def _qbs(s):
+    return analysis.quarterback_stats(_targets(s), _quarterbacks(s), 15)
+
+
+def _receivers(s):
+    return analysis.player_stats(_targets(s), s.players(), 5)
+
+
+_RATES = """round(orpsp, 10) AS orpsp, round("hadPassReception", 10) AS "hadPassReception" """
+
+
+@query(f"""SELECT "teamAbbr", {_RATES} FROM team_rates""")
+def team_stats(s):
+    return rounded(_teams(s), 10)
+
+
+@query(f"""SELECT "displayName", {_RATES}, targets FROM qb_rates""")
+def qb_stats(s):
+    return rounded(_qbs(s), 10)
+
+
+@query(f"""SELECT "nflId", {_RATES}, targets, "displayName", "position" FROM player_rates""")
+def player_stats(s):
+    return rounded(_receivers(s), 10)
+
+
+_RATE_TABLES = (("teams", "team_rates"), ("quarterbacks", "qb_rates"), ("receivers", "player_rates"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS stats, round(corr("hadPassReception", orpsp), 6) AS r, count(*) AS n FROM {t}"""
+        for n, t in _RATE_TABLES
+    )
+)
+def stats_corr(s):
+    tables = (("teams", _teams(s)), ("quarterbacks", _qbs(s)), ("receivers", _receivers(s)))
+    first, second, third = (analysis.correlation(t, n) for n, t in tables)
+    return rounded(first.unionByName(second).unionByName(third))
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS stats, round(regr_slope("hadPassReception", orpsp), 6) AS slope,
+        round(regr_intercept("hadPassReception", orpsp), 6) AS intercept FROM {t}"""
+        for n, t in _RATE_TABLES
+    )
+)
+def stats_trend(s):
+    tables = (("teams", _teams(s)), ("quarterbacks", _qbs(s)), ("receivers", _receivers(s)))
+    first, second, third = (analysis.trend(t, n) for n, t in tables)
+    return rounded(first.unionByName(second).unionByName(third))
+
+
+@query("""SELECT * FROM scores WHERE orpsp > 0.8e0 ORDER BY "gameId", "playId", "nflId" LIMIT 10""")
+def top_scores(s):
+    return analysis.top_scores(s.scores())
+
+
+@query("""SELECT DISTINCT "gameId", "playId" FROM tracking""")
+def distinct_plays(s):
+    return analysis.distinct_plays(s.tracking())
+
+
+@query(
+    """SELECT "offenseFormation", "receiverAlignment", count(*) AS count FROM plays
+    GROUP BY "offenseFormation", "receiverAlignment" """
+)
+def formation_counts(s):
+    return analysis.value_counts(s.plays(), "offenseFormation", "receiverAlignment")
+
+
+# ---- play views -------------------------------------------------------------------------
+
+
+def _view(s):
+    return views.play_view(s.tracking(), s.plays(), s.clusters(), _zones(s), s.scores())
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", route_left, cluster, is_defense, orpsp, count(*) AS frames,
+    min(x) AS x_low, max(y) AS y_high, round(max(relative_x_min), 9) AS box_x, round(max(relative_y_max), 9) AS box_y,
+    round(max(route_time_mean), 9) AS seconds
+    FROM play_view GROUP BY "gameId", "playId", "nflId", route_left, cluster, is_defense, orpsp"""
+)
+def play_view(s):
+    return rounded(
+        _view(s)
+        .groupBy(*ROUTE_KEYS, "route_left", "cluster", "is_defense", "orpsp")
+        .agg(
+            F.count("*").alias("frames"),
+            F.min("x").alias("x_low"),
+            F.max("y").alias("y_high"),
+            F.max("relative_x_min").alias("box_x"),
+            F.max("relative_y_max").alias("box_y"),
+            F.max("route_time_mean").alias("seconds"),
+        ),
+        9,
+        keep=("x_low", "y_high", "orpsp"),
+    )
+
+
+@query(
+    """SELECT DISTINCT "gameId", "playId", "absoluteYardlineNumber", "yardsToGo", "playDirection",
+    CASE "playDirection" WHEN 'right' THEN "absoluteYardlineNumber" + "yardsToGo" ELSE "absoluteYardlineNumber" - "yardsToGo" END
+    AS first_down FROM play_view"""
+)
+def first_down_line(s):
+    return views.play_lines(views.play_view(s.tracking(), s.plays()))
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", round(route_time_mean, 1) AS seconds,
+    round(CASE WHEN x + x0 > 120 THEN 120e0 - (x1 - x0) / 2 WHEN x + x0 < 0 THEN -(x1 - x0) / 2 ELSE x + x0 END, 9) AS x0,
+    round(CASE WHEN x + x0 > 120 THEN 120e0 + (x1 - x0) / 2 WHEN x + x0 < 0 THEN (x1 - x0) / 2 ELSE x + x1 END, 9) AS x1,
+    round(CASE WHEN y + y0 > 53.3e0 THEN 53.3e0 - (y1 - y0) / 2 WHEN y + y0 < 0 THEN -(y1 - y0) / 2 ELSE y + y0 END, 9) AS y0,
+    round(CASE WHEN y + y0 > 53.3e0 THEN 53.3e0 + (y1 - y0) / 2 WHEN y + y0 < 0 THEN (y1 - y0) / 2 ELSE y + y1 END, 9) AS y1
+    FROM (SELECT *, relative_x_min AS x0, relative_x_max AS x1, relative_y_min AS y0, relative_y_max AS y1 FROM play_view
+      WHERE "frameId" = 8 AND "frameType" = 'BEFORE_SNAP' AND cluster IS NOT NULL)"""
+)
+def zone_box(s):
+    return rounded(views.zone_boxes(_view(s)), 9)
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", CAST(count(*) AS INT) AS points, arg_min(x, "frameId") AS x_first, arg_min(y, "frameId") AS y_first,
+    arg_max(x, "frameId") AS x_last, arg_max(y, "frameId") AS y_last
+    FROM (SELECT *, row_number() OVER (PARTITION BY "gameId", "playId", "nflId" ORDER BY "frameId") AS rn FROM play_view
+      WHERE "frameType" = 'AFTER_SNAP' AND cluster IS NOT NULL)
+    WHERE rn <= "route_frameId_mean" GROUP BY "gameId", "playId", "nflId" """
+)
+def route_polyline(s):
+    path = F.col("path")
+    return views.route_paths(_view(s)).select(
+        *ROUTE_KEYS,
+        F.size(path).alias("points"),
+        path[0]["x"].alias("x_first"),
+        path[0]["y"].alias("y_first"),
+        F.element_at(path, -1)["x"].alias("x_last"),
+        F.element_at(path, -1)["y"].alias("y_last"),
+    )
+
+
+@query(
+    """SELECT "gameId", "playId", "nflId", "displayName", CAST(round(CAST(orpsp AS DECIMAL(9, 6)), 2) AS DOUBLE) AS orpsp,
+    CAST(row_number() OVER (PARTITION BY "gameId", "playId" ORDER BY y, "nflId") AS INT) AS card,
+    CAST(count(*) OVER (PARTITION BY "gameId", "playId") AS INT) AS cards
+    FROM play_view WHERE "frameId" = 8 AND "frameType" = 'BEFORE_SNAP' AND orpsp IS NOT NULL"""
+)
+def receiver_cards(s):
+    return views.receiver_cards(views.play_view(s.tracking(), s.plays(), scores=s.scores()))
+
+
+# ---- playbook ---------------------------------------------------------------------------
+
+
+def _template(s):
+    rows = playbook.formation_templates(s.tracking(), s.plays(), s.player_play(), s.players(), _complete(s))
+    return stage_table(rows, "template")
+
+
+@query(
+    """SELECT "offenseFormation", "receiverAlignment", slot, "position", "wasRunningRoute", round(x, 6) AS x, round(y, 6) AS y
+    FROM template"""
+)
+def formation_template(s):
+    return rounded(_template(s))
+
+
+@query(
+    """SELECT "offenseFormation", "receiverAlignment", "receiverId", round(x - 0.5e0, 6) AS receiver_x0,
+    round(x + 0.5e0, 6) AS receiver_x1, round(y - 0.5e0, 6) AS receiver_y0, round(y + 0.5e0, 6) AS receiver_y1,
+    round(x + 10 - 1.5e0, 6) AS zone_x0, round(x + 10 + 1.5e0, 6) AS zone_x1, round(y - 1.5e0, 6) AS zone_y0,
+    round(y + 1.5e0, 6) AS zone_y1, round(x + 5, 6) AS xi, round(y, 6) AS yi FROM template_receivers"""
+)
+def default_design(s):
+    return rounded(playbook.default_design(_template(s)))
+
+
+def _designs(s):
+    """Every play of the season as a design of its own."""
+    return s.plays().select(
+        F.col("playId").alias("design_id"), *playbook.FORMATION, "absoluteYardlineNumber", "yardsToGo", "down"
+    )
+
+
+def _moves(s, template):
+    slots = playbook.receiver_slots(template)
+    p, r = F.col("design_id"), F.col("receiverId")
+    kinds = F.array(F.lit("straight"), F.lit("45angle"), F.lit("90angle"))
+    return _designs(s).join(slots, playbook.FORMATION).select(
+        "design_id",
+        "receiverId",
+        (F.col("x") - (p + r) % 3 / F.lit(4.0)).alias("x"),
+        "y",
+        (F.col("x") + (p * 3 + r * 5) % 40 / F.lit(2.0) - 2).alias("x_zone"),
+        (F.col("y") + ((p * 7 + r * 11) % 33 - 16) / F.lit(2.0)).alias("y_zone"),
+        kinds[((p + r) % 3).cast("int")].alias("route_type"),
+    )
+
+
+@query(
+    """SELECT design_id, "receiverId", kind, round(greatest(least(x0, f0), -10e0), 6) AS x0,
+    round(greatest(least(x1, f1), -10e0 + size), 6) AS x1, round(least(greatest(y0, 0e0), 53.3e0 - size), 6) AS y0,
+    round(least(greatest(y1, size), 53.3e0), 6) AS y1
+    FROM (SELECT design_id, "receiverId", 'receiver' AS kind, 1e0 AS size, -0.5e0 AS f0, 0.5e0 AS f1,
+            x - 0.5e0 AS x0, x + 0.5e0 AS x1, y - 0.5e0 AS y0, y + 0.5e0 AS y1 FROM moves
+          UNION ALL SELECT design_id, "receiverId", 'zone', 3e0, 22e0, 25e0,
+            x_zone - 1.5e0, x_zone + 1.5e0, y_zone - 1.5e0, y_zone + 1.5e0 FROM moves)"""
+)
+def design_validation(s):
+    moves = _moves(s, _template(s))
+
+    def boxes(kind, x, y, half):
+        x, y = F.col(x), F.col(y)
+        return moves.select(
+            "design_id",
+            "receiverId",
+            F.lit(kind).alias("kind"),
+            (x - half).alias("x0"),
+            (x + half).alias("x1"),
+            (y - half).alias("y0"),
+            (y + half).alias("y1"),
+        )
+
+    shapes = boxes("receiver", "x", "y", 0.5).unionByName(boxes("zone", "x_zone", "y_zone", 1.5))
+    held = playbook.validate_shapes(shapes)
+    return rounded(held.drop("center_x", "center_y"))
+
+
+@query(
+    """SELECT design_id, line AS "absoluteYardlineNumber", least(to_go, 110 - line) AS "yardsToGo",
+    line BETWEEN 11 AND 109 AND down BETWEEN 1 AND 4 AND least(to_go, 110 - line) >= 1 AS valid
+    FROM (SELECT "playId" AS design_id, "absoluteYardlineNumber" AS line, "yardsToGo" AS to_go, down FROM plays)"""
+)
+def design_context(s):
+    checked = playbook.validate_context(_designs(s))
+    return checked.select("design_id", "absoluteYardlineNumber", "yardsToGo", "valid")
+
+
+@query("""SELECT design_id, "receiverId", route_type, round(xi, 6) AS xi, round(yi, 6) AS yi FROM bent""")
+def mid_route_point(s):
+    from routeforge.functions.geometry import mid_route_point as bend
+
+    moves = _moves(s, _template(s))
+    xi, yi = bend(*[F.col(c) for c in ("x", "y", "x_zone", "y_zone", "route_type")])
+    return rounded(moves.select("design_id", "receiverId", "route_type", xi.alias("xi"), yi.alias("yi")))
+
+
+def _designed_rows(s):
+    template = _template(s)
+    return playbook.designed_rows(template, _designs(s), _moves(s, template))
+
+
+@query("""SELECT "playId", "nflId", route_mode FROM designed_rows""")
+def designed_route_class(s):
+    rows = _designed_rows(s).filter(F.col("wasRunningRoute") == 1)
+    return rows.select("playId", "nflId", "route_mode")
+
+
+_COUNT_SQL = ", ".join(f'"{c}"' for c in COUNTS)
+
+
+@query(
+    f"""SELECT "gameId", "playId", "nflId", route_mode, {_GEOMETRY_SQL}, {_COUNT_SQL}
+    FROM designed_geometry JOIN designed_counts USING ("gameId", "playId")"""
+)
+def designed_features(s):
+    rows = playbook.designed_features(stage_table(_designed_rows(s), "designed-rows"))
+    return rounded(rows.select(*ROUTE_KEYS, "route_mode", *GEOMETRY, *COUNTS))

@@ -163,6 +163,246 @@ FROM (SELECT *, (t0 - a * s2) / n AS c FROM (SELECT *, (t1 - a * s3) / s2 AS b F
     GROUP BY week, "gameId", "playId", "nflId"))))"""
 
 
+# ---- clusters ---------------------------------------------------------------------------
+
+_SHAPE = [
+    "x_median", "x_std", "x_5", "x_20", "x_40", "y_median", "y_std", "y_5", "y_20", "y_40",
+    "coef_a", "coef_b", "coef_c",
+]
+
+VIEWS["named_features"] = """
+SELECT f.*, p."routeRan" FROM features f JOIN (SELECT * FROM player_play WHERE "wasRunningRoute" = 1) p
+USING ("gameId", "playId", "nflId")"""
+
+VIEWS["exemplars"] = """
+SELECT CAST(dense_rank() OVER (ORDER BY "routeRan") - 1 AS INT) AS cluster, * FROM (
+  SELECT *, row_number() OVER (PARTITION BY "routeRan" ORDER BY "gameId", "playId", "nflId") AS rn FROM named_features)
+WHERE rn = 1"""
+
+_GAP = " + ".join(f"(coalesce(f.{c}, 0e0) - e.{c}) * (coalesce(f.{c}, 0e0) - e.{c})" for c in _SHAPE)
+VIEWS["assigned"] = f"""
+SELECT f."gameId", f."playId", f."nflId", arg_min(e.cluster, sqrt({_GAP})) AS cluster
+FROM features f, (SELECT * FROM exemplars ORDER BY cluster) e GROUP BY f."gameId", f."playId", f."nflId" """
+
+VIEWS["modes"] = """
+SELECT cluster, CASE "routeRan" WHEN 'GO' THEN 'straight' WHEN 'HITCH' THEN 'shortstraight'
+  WHEN 'SLANT' THEN 'early45angle' WHEN 'CROSS' THEN 'early45angle' WHEN 'POST' THEN 'late45angle'
+  WHEN 'CORNER' THEN 'late45angle' WHEN 'OUT' THEN '90angle' WHEN 'IN' THEN '90angle' WHEN 'FLAT' THEN 'flat'
+  WHEN 'SCREEN' THEN 'screen' WHEN 'ANGLE' THEN 'wheelangle' WHEN 'WHEEL' THEN 'wheelangle' ELSE "routeRan" END AS route_mode
+FROM (SELECT cluster, "routeRan", row_number() OVER (PARTITION BY cluster ORDER BY n DESC, "routeRan") AS rn
+      FROM (SELECT cluster, "routeRan", count(*) AS n FROM player_play JOIN clusters USING ("gameId", "playId", "nflId")
+            WHERE "routeRan" IS NOT NULL GROUP BY cluster, "routeRan"))
+WHERE rn = 1"""
+
+VIEWS["arrived"] = """
+SELECT r.*, c.cluster FROM relative r
+JOIN (SELECT "gameId", "playId", "nflId" FROM player_play WHERE "wasTargettedReceiver" = 1) USING ("gameId", "playId", "nflId")
+LEFT JOIN clusters c USING ("gameId", "playId", "nflId") WHERE r.event = 'pass_arrived'"""
+
+ZONE_SQL = """
+SELECT {key},
+  CASE WHEN abs(relative_x_mean - x0) < 1 THEN relative_x_mean - 3 ELSE x0 END AS relative_x_min,
+  CASE WHEN abs(x1 - relative_x_mean) < 1 THEN relative_x_mean + 3 ELSE x1 END AS relative_x_max, relative_x_mean,
+  CASE WHEN abs(relative_y_mean - y0) < 1 THEN relative_y_mean - 3 ELSE y0 END AS relative_y_min,
+  CASE WHEN abs(y1 - relative_y_mean) < 1 THEN relative_y_mean + 3 ELSE y1 END AS relative_y_max, relative_y_mean,
+  "route_frameId_mean", "route_frameId_mean" * 0.1e0 AS route_time_mean
+FROM (SELECT {key}, min(relative_x) AS x0, max(relative_x) AS x1, avg(relative_x) AS relative_x_mean,
+        min(relative_y) AS y0, max(relative_y) AS y1, avg(relative_y) AS relative_y_mean,
+        avg("route_frameId") AS "route_frameId_mean" FROM {rows} GROUP BY {key})"""
+
+VIEWS["zones"] = ZONE_SQL.format(key="cluster", rows="(SELECT * FROM arrived WHERE cluster IS NOT NULL)")
+
+VIEWS["coverage"] = """
+SELECT p."gameId", p."playId", bool_and(c.cluster IS NOT NULL) AS complete
+FROM player_play p LEFT JOIN clusters c USING ("gameId", "playId", "nflId")
+WHERE p."wasRunningRoute" = 1 GROUP BY p."gameId", p."playId" """
+
+VIEWS["complete"] = """SELECT "gameId", "playId" FROM coverage WHERE complete"""
+
+# ---- receivers --------------------------------------------------------------------------
+
+VIEWS["open_labels"] = """
+SELECT "gameId", "playId", p."nflId",
+  CAST(CASE WHEN "passResult" = 'C' AND "prePenaltyYardsGained" > 2 THEN 1 ELSE 0 END AS INT) AS orpsp_target
+FROM plays JOIN complete USING ("gameId", "playId") JOIN player_play p USING ("gameId", "playId")
+WHERE "passResult" IS NOT NULL AND (NOT "qbSpike" OR "qbSpike" IS NULL) AND ("timeToSack" > 4 OR "timeToSack" IS NULL)
+  AND p."wasRunningRoute" = 1
+  AND (("passResult" IN ('C', 'I', 'IN') AND "wasTargettedReceiver" = 1) OR "passResult" IN ('S', 'R'))"""
+
+VIEWS["play_feats"] = """
+SELECT "gameId", "playId", down, "yardsToGo", "absoluteYardlineNumber", "offenseFormation", "receiverAlignment", "playAction"
+FROM plays JOIN complete USING ("gameId", "playId")"""
+
+VIEWS["cluster_feats"] = """
+SELECT "gameId", "playId", "nflId", cluster, route_mode, relative_x_mean, relative_y_mean, route_time_mean
+FROM clusters JOIN complete USING ("gameId", "playId") JOIN modes USING (cluster) JOIN zones USING (cluster)"""
+
+VIEWS["last_frames"] = """
+SELECT "gameId", "playId", "nflId", max("frameId") AS "frameId", arg_max(x, "frameId") AS x, arg_max(y, "frameId") AS y,
+  arg_max_null(o, "frameId") AS o, arg_max("playDirection", "frameId") AS "playDirection"
+FROM mirrored WHERE "frameType" = 'BEFORE_SNAP' GROUP BY "gameId", "playId", "nflId" """
+
+VIEWS["starts"] = """
+SELECT s.*, d.route_left, b.x AS x_ball, b.y AS y_ball
+FROM last_frames s JOIN complete USING ("gameId", "playId")
+LEFT JOIN mirrored_direction d ON d."gameId" = s."gameId" AND d."playId" = s."playId" AND d."nflId" = s."nflId"
+JOIN (SELECT * FROM last_frames WHERE "nflId" IS NULL) b ON b."gameId" = s."gameId" AND b."playId" = s."playId" """
+
+VIEWS["receiver_rows"] = """
+SELECT * REPLACE (CASE WHEN x_recep_zone > 120e0 THEN 119.99e0 WHEN x_recep_zone < 0 THEN 0e0 ELSE x_recep_zone END AS x_recep_zone,
+    CASE WHEN y_recep_zone > 53.3e0 THEN 53.3e0 - 0.01e0 WHEN y_recep_zone < 0 THEN 0e0 ELSE y_recep_zone END AS y_recep_zone)
+FROM (SELECT *, x + relative_x_mean AS x_recep_zone, y + relative_y_mean AS y_recep_zone FROM (
+  SELECT c."gameId", c."playId", c."nflId", c.cluster, c.route_mode, c.route_time_mean, c.relative_x_mean,
+    CASE WHEN NOT s.route_left THEN -c.relative_y_mean ELSE c.relative_y_mean END AS relative_y_mean,
+    CASE WHEN s."playDirection" = 'left' THEN 120e0 - p."absoluteYardlineNumber" ELSE p."absoluteYardlineNumber" END AS line,
+    p.down, p."yardsToGo", p."offenseFormation", p."receiverAlignment", p."playAction",
+    q."position", s.x, s.y, s.x_ball, s.y_ball, s.route_left
+  FROM cluster_feats c JOIN play_feats p USING ("gameId", "playId") JOIN starts s USING ("gameId", "playId", "nflId")
+  JOIN players q USING ("nflId")))"""
+
+
+def geometry_sql(rows: str) -> str:
+    def angle(dx: str, dy: str) -> str:
+        return f"(degrees(atan2({dx}, {dy})) + 360e0) % 360e0"
+
+    def side(v: str) -> str:
+        return f"abs(26.65e0 * floor(abs({v}) / 26.65e0) - abs({v}) % 26.65e0)"
+
+    return f"""
+SELECT *, sqrt((x_recep_zone - x) * (x_recep_zone - x) + (y_recep_zone - y) * (y_recep_zone - y)) AS dis_recep_zone,
+  {angle("x_recep_zone - x", "y_recep_zone - y")} AS dir_recep_zone,
+  {side("y_recep_zone")} AS recep_zone_dis_out_of_bounds, abs(x_recep_zone - line) AS recep_zone_dis_yard_line,
+  sqrt((x_recep_zone - x_ball) * (x_recep_zone - x_ball) + (y_recep_zone - y_ball) * (y_recep_zone - y_ball)) AS dis_ball_to_recep_zone,
+  {angle("x_recep_zone - x_ball", "y_recep_zone - y_ball")} AS dir_ball_to_recep_zone,
+  {side("y")} AS dis_out_of_bounds, abs(x - 120e0) AS dis_back_of_endzone, abs(x - line) AS dis_yard_line
+FROM {rows}"""
+
+
+def counts_sql(rows: str) -> str:
+    classes = ["early45angle", "flat", "90angle", "late45angle", "shortstraight", "wheelangle", "screen", "straight"]
+    parts = [f"count(*) FILTER (route_mode = '{c}') AS \"nb_{c}\"" for c in classes]
+    bands = [("negative", "d < 0"), ("5", "d >= 0 AND d < 5"), ("10", "d >= 5 AND d < 10"), ("20", "d >= 10 AND d < 20"), ("inf", "d >= 20")]
+    parts += [f"count(*) FILTER ({cond}) AS nb_recep_zone_{name}" for name, cond in bands]
+    return f"""
+SELECT "gameId", "playId", {", ".join(parts)}, count(route_mode) AS nb_routes
+FROM (SELECT *, x_recep_zone - line AS d FROM {rows}) GROUP BY "gameId", "playId" """
+
+
+VIEWS["geometry"] = geometry_sql("receiver_rows")
+VIEWS["route_counts"] = counts_sql("receiver_rows")
+VIEWS["open_rows"] = """SELECT * FROM geometry JOIN route_counts USING ("gameId", "playId")"""
+
+# ---- quality and analysis ---------------------------------------------------------------
+
+VIEWS["judged"] = """
+SELECT orpsp_target AS label, CAST(orpsp >= 0.5e0 AS INT) AS prediction, orpsp AS score
+FROM open_labels JOIN scores USING ("gameId", "playId", "nflId")"""
+
+VIEWS["by_class"] = """
+SELECT c.name, count(*) FILTER (label = c.name) AS support, count(*) FILTER (prediction = c.name) AS called,
+  count(*) FILTER (label = c.name AND prediction = c.name) AS hits
+FROM judged, (SELECT unnest([0, 1]) AS name) c GROUP BY c.name"""
+
+VIEWS["report"] = """
+SELECT CAST(name AS VARCHAR) AS name, precision, recall,
+  CASE WHEN precision + recall = 0 THEN 0e0 ELSE 2 * precision * recall / (precision + recall) END AS f1, support
+FROM (SELECT name, support, coalesce(hits / nullif(called, 0), 0e0) AS precision, coalesce(hits / nullif(support, 0), 0e0) AS recall
+      FROM by_class)"""
+
+VIEWS["steps"] = """
+SELECT score, pos, neg, sum(pos) OVER w AS pos_to, sum(neg) OVER w AS neg_to
+FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM judged GROUP BY score)
+WINDOW w AS (ORDER BY score DESC)"""
+
+VIEWS["passers"] = """
+SELECT "gameId", "playId", "nflId", "displayName", "position" FROM player_play JOIN players USING ("nflId") WHERE "position" = 'QB'"""
+
+VIEWS["qbs"] = """
+SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY "gameId", "playId") > 1 AS duplicated
+FROM (SELECT *, count(*) OVER (PARTITION BY "gameId", "playId") AS n FROM passers)
+WHERE NOT (n > 1 AND "displayName" IN (SELECT "displayName" FROM players WHERE "nflId" IN (10, 50)))"""
+
+VIEWS["targets"] = """
+SELECT s.*, p."teamAbbr", p."wasTargettedReceiver", p."hadPassReception"
+FROM scores s JOIN player_play p USING ("gameId", "playId", "nflId") WHERE p."wasTargettedReceiver" = 1"""
+
+VIEWS["team_rates"] = """
+SELECT "teamAbbr", avg(orpsp) AS orpsp, avg("hadPassReception") AS "hadPassReception" FROM targets GROUP BY "teamAbbr" """
+
+VIEWS["qb_rates"] = """
+SELECT "displayName", avg(orpsp) AS orpsp, avg("hadPassReception") AS "hadPassReception", count(*) AS targets
+FROM targets JOIN (SELECT "gameId", "playId", "displayName" FROM qbs) USING ("gameId", "playId")
+GROUP BY "displayName" HAVING count(*) >= 15"""
+
+VIEWS["player_rates"] = """
+SELECT r.*, "displayName", "position" FROM (
+  SELECT "nflId", avg(orpsp) AS orpsp, avg("hadPassReception") AS "hadPassReception", count(*) AS targets
+  FROM targets GROUP BY "nflId" HAVING count(*) >= 5) r JOIN players USING ("nflId")"""
+
+# ---- views ------------------------------------------------------------------------------
+
+VIEWS["play_view"] = """
+SELECT t."gameId", t."playId", t."nflId", t."displayName", t."frameId", t."frameType", t.club, t.x, t.y, t."playDirection",
+  d.route_left, p."defensiveTeam", p."absoluteYardlineNumber", p."yardsToGo", t.club = p."defensiveTeam" AS is_defense,
+  c.cluster, z."route_frameId_mean", z.route_time_mean, s.orpsp,
+  CASE WHEN t."playDirection" = 'left' THEN -z.relative_x_min ELSE z.relative_x_min END AS relative_x_min,
+  CASE WHEN t."playDirection" = 'left' THEN -z.relative_x_max ELSE z.relative_x_max END AS relative_x_max,
+  CASE WHEN NOT d.route_left THEN -z.relative_y_min ELSE z.relative_y_min END AS relative_y_min,
+  CASE WHEN NOT d.route_left THEN -z.relative_y_max ELSE z.relative_y_max END AS relative_y_max
+FROM tracking t LEFT JOIN raw_direction d USING ("gameId", "playId", "nflId") LEFT JOIN plays p USING ("gameId", "playId")
+LEFT JOIN clusters c USING ("gameId", "playId", "nflId") LEFT JOIN zones z USING (cluster)
+LEFT JOIN scores s USING ("gameId", "playId", "nflId")"""
+
+# ---- playbook ---------------------------------------------------------------------------
+
+VIEWS["chosen"] = """
+SELECT "offenseFormation", "receiverAlignment", "gameId", "playId", "possessionTeam" FROM (
+  SELECT *, row_number() OVER (PARTITION BY "offenseFormation", "receiverAlignment" ORDER BY "gameId", "playId") AS rn
+  FROM plays JOIN complete USING ("gameId", "playId")) WHERE rn = 1"""
+
+VIEWS["template"] = """
+SELECT *, CAST(row_number() OVER (PARTITION BY "offenseFormation", "receiverAlignment" ORDER BY y DESC, "nflId") AS INT) AS slot FROM (
+  SELECT "offenseFormation", "receiverAlignment", s."nflId", q."position", coalesce(pp."wasRunningRoute", 0) AS "wasRunningRoute",
+    s.x - s.x_ball AS x, s.y - s.y_ball + 26.65e0 AS y
+  FROM chosen JOIN starts s USING ("gameId", "playId") JOIN player_play pp USING ("gameId", "playId", "nflId")
+  JOIN players q USING ("nflId") WHERE pp."teamAbbr" = chosen."possessionTeam")"""
+
+VIEWS["template_receivers"] = """
+SELECT *, CAST(row_number() OVER (PARTITION BY "offenseFormation", "receiverAlignment" ORDER BY slot) AS INT) AS "receiverId"
+FROM template WHERE "wasRunningRoute" = 1"""
+
+VIEWS["moves"] = """
+SELECT p."playId" AS design_id, r."receiverId", r.x - ((p."playId" + r."receiverId") % 3) / 4e0 AS x, r.y AS y,
+  r.x + ((p."playId" * 3 + r."receiverId" * 5) % 40) / 2e0 - 2 AS x_zone,
+  r.y + ((p."playId" * 7 + r."receiverId" * 11) % 33 - 16) / 2e0 AS y_zone,
+  (['straight','45angle','90angle'])[(p."playId" + r."receiverId") % 3 + 1] AS route_type
+FROM plays p JOIN template_receivers r USING ("offenseFormation", "receiverAlignment")"""
+
+MID_X = """CASE route_type WHEN 'straight' THEN (x + x_zone) / 2e0 WHEN '90angle' THEN x_zone ELSE
+  CASE WHEN x <= x_zone THEN CASE WHEN x_zone - abs(y - y_zone) < x THEN x_zone ELSE x_zone - abs(y - y_zone) END
+       ELSE CASE WHEN x_zone + abs(y - y_zone) > x THEN x_zone ELSE x_zone + abs(y - y_zone) END END END"""
+MID_Y = """CASE route_type WHEN 'straight' THEN (y + y_zone) / 2e0 WHEN '90angle' THEN y ELSE
+  CASE WHEN x <= x_zone THEN CASE WHEN x_zone - abs(y - y_zone) < x THEN y_zone - (x_zone - abs(y - y_zone)) * sign(y - y_zone) ELSE y END
+       ELSE CASE WHEN x_zone + abs(y - y_zone) > x THEN y_zone + (x_zone + abs(y - y_zone)) * sign(y - y_zone) ELSE y END END END"""
+
+VIEWS["bent"] = f"""SELECT *, {MID_X} AS xi, {MID_Y} AS yi FROM moves"""
+
+VIEWS["designed_class"] = """
+SELECT *, CASE WHEN x_zone < 1 AND y_zone - y < 5 THEN 'screen' WHEN x_zone < 3 THEN 'flat'
+  WHEN route_type = 'straight' AND x_zone < 10 THEN 'shortstraight'
+  WHEN route_type = '45angle' AND xi - x > 10 AND yi = y THEN 'late45angle'
+  WHEN route_type = '45angle' THEN 'early45angle' ELSE route_type END AS route_mode FROM bent"""
+
+VIEWS["designed_rows"] = """
+SELECT 0 AS "gameId", design_id AS "playId", CAST(slot AS BIGINT) AS "nflId", d.x + line AS x, d.y, d.x_zone + line AS x_recep_zone,
+  d.y_zone AS y_recep_zone, CAST(line AS DOUBLE) AS line, CAST(line AS DOUBLE) AS x_ball, 26.65e0 AS y_ball, d.route_mode
+FROM designed_class d JOIN (SELECT *, "absoluteYardlineNumber" AS line FROM plays) p ON p."playId" = d.design_id
+JOIN template_receivers r USING ("offenseFormation", "receiverAlignment", "receiverId")"""
+
+VIEWS["designed_geometry"] = geometry_sql("designed_rows")
+VIEWS["designed_counts"] = counts_sql("designed_rows")
+
+
 def used_views(sql: str) -> list[str]:
     """Views a text needs, in definition order."""
     needed: set[str] = set()
