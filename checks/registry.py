@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views_sql import ZONE_SQL
-from routeforge.constants import PLAY_KEYS, ROUTE_KEYS, SHAPE_FEATURES
+from routeforge.constants import (
+    OPEN_CATEGORIES,
+    OPEN_FEATURES,
+    PLAY_KEYS,
+    ROUTE_KEYS,
+    ROUTE_TIME_CATEGORIES,
+    ROUTE_TIME_FEATURES,
+    SHAPE_FEATURES,
+)
 from routeforge.operators import (
     analysis,
+    boosting,
     encoding,
+    exemplars as exemplar_clustering,
     metrics,
+    outliers as isolation,
     playbook,
     receivers,
     routes,
@@ -722,3 +733,115 @@ _COUNT_SQL = ", ".join(f'"{c}"' for c in COUNTS)
 def designed_features(s):
     rows = playbook.designed_features(stage_table(_designed_rows(s), "designed-rows"))
     return rounded(rows.select(*ROUTE_KEYS, "route_mode", *GEOMETRY, *COUNTS))
+
+
+# ---- learned operators ------------------------------------------------------------------
+# Their numbers depend on the learner, so there is no SQL twin. Few rounds keep the check
+# short; the rows are all there.
+
+ROUNDS, STEP = 8, 0.1
+
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def _once(s, name, build):
+    key = (s.spark.sparkContext.applicationId, s.folder, name)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def _shapes(s):
+    return _once(
+        s, "shapes", lambda: stage_table(routes.route_features(_weighted_routes(s)), "shapes")
+    )
+
+
+@query()
+def exemplars(s):
+    """Exemplars of the first week's routes."""
+    return exemplar_clustering.train_exemplars(_shapes(s).filter(F.col("week") == 1))
+
+
+@query()
+def outliers(s):
+    forest = isolation.train_outliers(_shapes(s))
+    return isolation.predict_outliers(_shapes(s), forest).select(*ROUTE_KEYS, "anomaly")
+
+
+@query()
+def outliers_removed(s):
+    forest = isolation.train_outliers(_shapes(s))
+    return isolation.remove_outliers(isolation.predict_outliers(_shapes(s), forest))
+
+
+@query()
+def impute_zones(s):
+    known = _zones(s)
+    rows = stage_table(boosting.zone_training_rows(_shapes(s), s.clusters(), known), "zone-rows")
+    return boosting.impute_zones(rows, known, ROUNDS, 4, STEP)[0]
+
+
+def _model_rows(s):
+    """Encoded features of all receivers, with label and split where there is a label."""
+
+    def build():
+        features = stage_table(receivers.open_features(_receiver_rows(s)), "open-features")
+        vocabulary = stage_table(encoding.fit_vocabulary(features, OPEN_CATEGORIES), "encoder")
+        encoded = encoding.encode(
+            features.select(*ROUTE_KEYS, *OPEN_FEATURES), vocabulary, OPEN_CATEGORIES
+        ).join(_labels(s), ROUTE_KEYS, "left")
+        return vocabulary, stage_table(encoding.split(encoded, ROUTE_KEYS), "encoded")
+
+    return _once(s, "model-rows", build)
+
+
+def _open_model(s):
+    def build():
+        rows = _model_rows(s)[1].filter(F.col("orpsp_target").isNotNull() & ~F.col("is_test"))
+        return boosting.train_open_classifier(rows, ROUNDS, step=STEP)
+
+    return _once(s, "open-model", build)
+
+
+@query()
+def orpsp_scores(s):
+    return boosting.open_scores(_model_rows(s)[1], _open_model(s))
+
+
+@query()
+def orpsp_classes(s):
+    return boosting.open_classes(_model_rows(s)[1], _open_model(s))
+
+
+@query()
+def feature_importance(s):
+    rows = _model_rows(s)[1].filter("is_test").filter(F.col("orpsp_target").isNotNull())
+    return boosting.permutation_importance(rows, _open_model(s))
+
+
+def _time_model(s):
+    def build():
+        rows = _model_rows(s)[1].filter(~F.col("is_test"))
+        return boosting.train_route_time(rows, ROUNDS, 4, STEP)
+
+    return _once(s, "time-model", build)
+
+
+@query()
+def route_time(s):
+    return boosting.route_times(_model_rows(s)[1], _time_model(s))
+
+
+@query()
+def designed_scores(s):
+    vocabulary = _model_rows(s)[0]
+    rows = stage_table(_designed_rows(s), "designed-rows")
+    features = stage_table(playbook.designed_features(rows), "designed-features")
+    timed = encoding.encode(
+        features.select(*ROUTE_KEYS, *ROUTE_TIME_FEATURES), vocabulary, ROUTE_TIME_CATEGORIES
+    )
+    times = boosting.route_times(timed, _time_model(s))
+    full = features.join(times, ROUTE_KEYS).select(*ROUTE_KEYS, *OPEN_FEATURES)
+    scored = boosting.open_scores(encoding.encode(full, vocabulary, OPEN_CATEGORIES), _open_model(s))
+    return rows.join(times, ROUTE_KEYS, "left").join(scored, ROUTE_KEYS, "left")
