@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views_sql import ZONE_SQL
+from checks.views_sql import NUDGE, ZONE_SQL
 from routeforge.constants import (
     OPEN_CATEGORIES,
     OPEN_FEATURES,
@@ -57,7 +57,7 @@ def rounded(df: DataFrame, places: int = 6, keep: tuple[str, ...] = ()) -> DataF
     """Round the doubles that depend on summation order; those in ``keep`` are exact."""
     return df.select(
         *[
-            F.round(c, places).alias(c) if t == "double" and c not in keep else F.col(c)
+            F.round(F.col(c) + NUDGE, places).alias(c) if t == "double" and c not in keep else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -151,8 +151,8 @@ def arrival_cut(s):
 
 # ---- route shape ------------------------------------------------------------------------
 
-_SHAPE_SQL = ", ".join(f"round({c}, 4) AS {c}" if c.startswith("coef") else f"round({c}, 6) AS {c}" for c in SHAPE_FEATURES)
-_POSITION_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in SHAPE_FEATURES if not c.startswith("coef"))
+_SHAPE_SQL = ", ".join(f"near({c}, 4) AS {c}" if c.startswith("coef") else f"near({c}, 6) AS {c}" for c in SHAPE_FEATURES)
+_POSITION_SQL = ", ".join(f"near({c}, 6) AS {c}" for c in SHAPE_FEATURES if not c.startswith("coef"))
 
 
 def _weighted_routes(s):
@@ -162,7 +162,7 @@ def _weighted_routes(s):
 def _round_shape(df):
     return df.select(
         *[
-            F.round(c, 4 if c.startswith("coef") else 6).alias(c) if t == "double" else F.col(c)
+            F.round(F.col(c) + NUDGE, 4 if c.startswith("coef") else 6).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -174,8 +174,8 @@ def position_features(s):
 
 
 @query(
-    """SELECT "gameId", "playId", "nflId", round(coef_a, 4) AS coef_a, round(coef_b, 4) AS coef_b,
-    round(coef_c, 4) AS coef_c FROM features"""
+    """SELECT "gameId", "playId", "nflId", near(coef_a, 4) AS coef_a, near(coef_b, 4) AS coef_b,
+    near(coef_c, 4) AS coef_c FROM features"""
 )
 def quadratic_fit(s):
     return _round_shape(routes.quadratic_fit(_weighted_routes(s)))
@@ -193,7 +193,7 @@ ZONE_NUMBERS = [
     "relative_y_min", "relative_y_max", "relative_y_mean",
     "route_frameId_mean", "route_time_mean",
 ]
-_ZONE_COLS = ", ".join(f'round("{c}", 9) AS "{c}"' for c in ZONE_NUMBERS)
+_ZONE_COLS = ", ".join(f'near("{c}", 6) AS "{c}"' for c in ZONE_NUMBERS)
 
 
 @query(
@@ -202,7 +202,7 @@ _ZONE_COLS = ", ".join(f'round("{c}", 9) AS "{c}"' for c in ZONE_NUMBERS)
 def route_name_zones(s):
     """Where and when passes arrive on each charted route."""
     frames = zones.arrival_frames(tracking.standard_routes(s.tracking(), s.player_play()), s.player_play())
-    return rounded(zones.widen_zones(zones.zone_bounds(frames, ["routeRan"])), 9)
+    return rounded(zones.widen_zones(zones.zone_bounds(frames, ["routeRan"])))
 
 
 @query("""SELECT "gameId", "playId", "nflId", cluster FROM assigned""")
@@ -224,7 +224,7 @@ def _zones(s):
 
 @query(f"""SELECT cluster, {_ZONE_COLS} FROM zones""")
 def reception_zones(s):
-    return rounded(_zones(s), 9)
+    return rounded(_zones(s))
 
 
 def _complete(s):
@@ -274,8 +274,8 @@ def _cluster_features(s):
 
 
 @query(
-    """SELECT "gameId", "playId", "nflId", cluster, route_mode, round(relative_x_mean, 6) AS relative_x_mean,
-    round(relative_y_mean, 6) AS relative_y_mean, round(route_time_mean, 6) AS route_time_mean FROM cluster_feats"""
+    """SELECT "gameId", "playId", "nflId", cluster, route_mode, near(relative_x_mean, 6) AS relative_x_mean,
+    near(relative_y_mean, 6) AS relative_y_mean, near(route_time_mean, 6) AS route_time_mean FROM cluster_feats"""
 )
 def cluster_features(s):
     return rounded(_cluster_features(s))
@@ -317,8 +317,8 @@ def _receiver_rows(s):
 
 
 @query(
-    """SELECT "gameId", "playId", "nflId", round(line, 6) AS "absoluteYardlineNumber",
-    round(x_recep_zone, 6) AS x_recep_zone, round(y_recep_zone, 6) AS y_recep_zone FROM receiver_rows"""
+    """SELECT "gameId", "playId", "nflId", near(line, 6) AS "absoluteYardlineNumber",
+    near(x_recep_zone, 6) AS x_recep_zone, near(y_recep_zone, 6) AS y_recep_zone FROM receiver_rows"""
 )
 def absolute_zone(s):
     return rounded(
@@ -330,7 +330,7 @@ GEOMETRY = [
     "dis_recep_zone", "dir_recep_zone", "recep_zone_dis_out_of_bounds", "recep_zone_dis_yard_line",
     "dis_ball_to_recep_zone", "dir_ball_to_recep_zone", "dis_out_of_bounds", "dis_back_of_endzone", "dis_yard_line",
 ]
-_GEOMETRY_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in GEOMETRY)
+_GEOMETRY_SQL = ", ".join(f"near({c}, 6) AS {c}" for c in GEOMETRY)
 
 
 @query(f"""SELECT "gameId", "playId", "nflId", {_GEOMETRY_SQL} FROM geometry""")
@@ -349,7 +349,7 @@ COUNTS = [
     "nb_recep_zone_10", "nb_recep_zone_20", "nb_recep_zone_inf",
 ]
 CONTEXT = ["down", "yardsToGo", "offenseFormation", "receiverAlignment", "playAction", "position", "route_mode"]
-_OPEN_SQL = ", ".join([*[f'"{c}"' for c in CONTEXT + COUNTS], "round(route_time_mean, 6) AS route_time_mean", _GEOMETRY_SQL])
+_OPEN_SQL = ", ".join([*[f'"{c}"' for c in CONTEXT + COUNTS], "near(route_time_mean, 6) AS route_time_mean", _GEOMETRY_SQL])
 
 
 @query(f"""SELECT "gameId", "playId", "nflId", {_OPEN_SQL} FROM open_rows""")
@@ -395,13 +395,13 @@ def confusion_matrix(s):
     return metrics.confusion_matrix(_judged(s))
 
 
-@query("""SELECT round(avg(hits / support), 6) AS balanced_accuracy FROM by_class WHERE support > 0""")
+@query("""SELECT near(avg(hits / support), 6) AS balanced_accuracy FROM by_class WHERE support > 0""")
 def balanced_accuracy(s):
     return rounded(metrics.balanced_accuracy(_judged(s)))
 
 
 @query(
-    """SELECT name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+    """SELECT name, near(precision, 6) AS precision, near(recall, 6) AS recall, near(f1, 6) AS f1,
     CAST(support AS BIGINT) AS support FROM (
     SELECT * FROM report
     UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM report
@@ -413,21 +413,21 @@ def classification_report(s):
 
 
 @query(
-    """SELECT round(sum(neg * ((pos_to - pos) + pos / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM steps"""
+    """SELECT near(sum(neg * ((pos_to - pos) + pos / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM steps"""
 )
 def roc_auc(s):
     return rounded(metrics.roc_auc(_judged(s)))
 
 
 @query(
-    """SELECT score AS threshold, round(neg_to / (SELECT sum(neg) FROM steps), 6) AS fpr,
-    round(pos_to / (SELECT sum(pos) FROM steps), 6) AS tpr FROM steps"""
+    """SELECT score AS threshold, near(neg_to / (SELECT sum(neg) FROM steps), 6) AS fpr,
+    near(pos_to / (SELECT sum(pos) FROM steps), 6) AS tpr FROM steps"""
 )
 def roc_curve(s):
     return rounded(metrics.roc_curve(_judged(s)))
 
 
-@query("""SELECT round(sqrt(avg((label - score) * (label - score))), 6) AS rmse FROM judged""")
+@query("""SELECT near(sqrt(avg((label - score) * (label - score))), 6) AS rmse FROM judged""")
 def rmse(s):
     return rounded(metrics.rmse(_judged(s), "label", "score"))
 
@@ -436,7 +436,7 @@ def rmse(s):
 
 
 @query(
-    """SELECT "teamAbbr", round(avg(win), 6) AS win FROM (
+    """SELECT "teamAbbr", near(avg(win), 6) AS win FROM (
     SELECT "homeTeamAbbr" AS "teamAbbr", CAST("homeFinalScore" > "visitorFinalScore" AS INT) AS win FROM games
     UNION ALL SELECT "visitorTeamAbbr", CAST("homeFinalScore" < "visitorFinalScore" AS INT) FROM games)
     GROUP BY "teamAbbr" """
@@ -471,22 +471,22 @@ def _receivers(s):
     return analysis.player_stats(_targets(s), s.players(), 5)
 
 
-_RATES = """round(orpsp, 10) AS orpsp, round("hadPassReception", 10) AS "hadPassReception" """
+_RATES = """near(orpsp, 6) AS orpsp, near("hadPassReception", 6) AS "hadPassReception" """
 
 
 @query(f"""SELECT "teamAbbr", {_RATES} FROM team_rates""")
 def team_stats(s):
-    return rounded(_teams(s), 10)
+    return rounded(_teams(s))
 
 
 @query(f"""SELECT "displayName", {_RATES}, targets FROM qb_rates""")
 def qb_stats(s):
-    return rounded(_qbs(s), 10)
+    return rounded(_qbs(s))
 
 
 @query(f"""SELECT "nflId", {_RATES}, targets, "displayName", "position" FROM player_rates""")
 def player_stats(s):
-    return rounded(_receivers(s), 10)
+    return rounded(_receivers(s))
 
 
 _RATE_TABLES = (("teams", "team_rates"), ("quarterbacks", "qb_rates"), ("receivers", "player_rates"))
@@ -494,7 +494,7 @@ _RATE_TABLES = (("teams", "team_rates"), ("quarterbacks", "qb_rates"), ("receive
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT '{n}' AS stats, round(corr("hadPassReception", orpsp), 6) AS r, count(*) AS n FROM {t}"""
+        f"""SELECT '{n}' AS stats, near(corr("hadPassReception", orpsp), 6) AS r, count(*) AS n FROM {t}"""
         for n, t in _RATE_TABLES
     )
 )
@@ -506,8 +506,8 @@ def stats_corr(s):
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT '{n}' AS stats, round(regr_slope("hadPassReception", orpsp), 6) AS slope,
-        round(regr_intercept("hadPassReception", orpsp), 6) AS intercept FROM {t}"""
+        f"""SELECT '{n}' AS stats, near(regr_slope("hadPassReception", orpsp), 6) AS slope,
+        near(regr_intercept("hadPassReception", orpsp), 6) AS intercept FROM {t}"""
         for n, t in _RATE_TABLES
     )
 )
@@ -544,8 +544,8 @@ def _view(s):
 
 @query(
     """SELECT "gameId", "playId", "nflId", route_left, cluster, is_defense, orpsp, count(*) AS frames,
-    min(x) AS x_low, max(y) AS y_high, round(max(relative_x_min), 9) AS box_x, round(max(relative_y_max), 9) AS box_y,
-    round(max(route_time_mean), 9) AS seconds
+    min(x) AS x_low, max(y) AS y_high, near(max(relative_x_min), 6) AS box_x, near(max(relative_y_max), 6) AS box_y,
+    near(max(route_time_mean), 6) AS seconds
     FROM play_view GROUP BY "gameId", "playId", "nflId", route_left, cluster, is_defense, orpsp"""
 )
 def play_view(s):
@@ -560,7 +560,6 @@ def play_view(s):
             F.max("relative_y_max").alias("box_y"),
             F.max("route_time_mean").alias("seconds"),
         ),
-        9,
         keep=("x_low", "y_high", "orpsp"),
     )
 
@@ -575,16 +574,16 @@ def first_down_line(s):
 
 
 @query(
-    """SELECT "gameId", "playId", "nflId", round(route_time_mean, 1) AS seconds,
-    round(CASE WHEN x + x0 > 120 THEN 120e0 - (x1 - x0) / 2 WHEN x + x0 < 0 THEN -(x1 - x0) / 2 ELSE x + x0 END, 9) AS x0,
-    round(CASE WHEN x + x0 > 120 THEN 120e0 + (x1 - x0) / 2 WHEN x + x0 < 0 THEN (x1 - x0) / 2 ELSE x + x1 END, 9) AS x1,
-    round(CASE WHEN y + y0 > 53.3e0 THEN 53.3e0 - (y1 - y0) / 2 WHEN y + y0 < 0 THEN -(y1 - y0) / 2 ELSE y + y0 END, 9) AS y0,
-    round(CASE WHEN y + y0 > 53.3e0 THEN 53.3e0 + (y1 - y0) / 2 WHEN y + y0 < 0 THEN (y1 - y0) / 2 ELSE y + y1 END, 9) AS y1
+    """SELECT "gameId", "playId", "nflId", near(round(route_time_mean, 1), 6) AS seconds,
+    near(CASE WHEN x + x0 > 120 THEN 120e0 - (x1 - x0) / 2 WHEN x + x0 < 0 THEN -(x1 - x0) / 2 ELSE x + x0 END, 6) AS x0,
+    near(CASE WHEN x + x0 > 120 THEN 120e0 + (x1 - x0) / 2 WHEN x + x0 < 0 THEN (x1 - x0) / 2 ELSE x + x1 END, 6) AS x1,
+    near(CASE WHEN y + y0 > 53.3e0 THEN 53.3e0 - (y1 - y0) / 2 WHEN y + y0 < 0 THEN -(y1 - y0) / 2 ELSE y + y0 END, 6) AS y0,
+    near(CASE WHEN y + y0 > 53.3e0 THEN 53.3e0 + (y1 - y0) / 2 WHEN y + y0 < 0 THEN (y1 - y0) / 2 ELSE y + y1 END, 6) AS y1
     FROM (SELECT *, relative_x_min AS x0, relative_x_max AS x1, relative_y_min AS y0, relative_y_max AS y1 FROM play_view
       WHERE "frameId" = 8 AND "frameType" = 'BEFORE_SNAP' AND cluster IS NOT NULL)"""
 )
 def zone_box(s):
-    return rounded(views.zone_boxes(_view(s)), 9)
+    return rounded(views.zone_boxes(_view(s)))
 
 
 @query(
@@ -625,7 +624,7 @@ def _template(s):
 
 
 @query(
-    """SELECT "offenseFormation", "receiverAlignment", slot, "position", "wasRunningRoute", round(x, 6) AS x, round(y, 6) AS y
+    """SELECT "offenseFormation", "receiverAlignment", slot, "position", "wasRunningRoute", near(x, 6) AS x, near(y, 6) AS y
     FROM template"""
 )
 def formation_template(s):
@@ -633,10 +632,10 @@ def formation_template(s):
 
 
 @query(
-    """SELECT "offenseFormation", "receiverAlignment", "receiverId", round(x - 0.5e0, 6) AS receiver_x0,
-    round(x + 0.5e0, 6) AS receiver_x1, round(y - 0.5e0, 6) AS receiver_y0, round(y + 0.5e0, 6) AS receiver_y1,
-    round(x + 10 - 1.5e0, 6) AS zone_x0, round(x + 10 + 1.5e0, 6) AS zone_x1, round(y - 1.5e0, 6) AS zone_y0,
-    round(y + 1.5e0, 6) AS zone_y1, round(x + 5, 6) AS xi, round(y, 6) AS yi FROM template_receivers"""
+    """SELECT "offenseFormation", "receiverAlignment", "receiverId", near(x - 0.5e0, 6) AS receiver_x0,
+    near(x + 0.5e0, 6) AS receiver_x1, near(y - 0.5e0, 6) AS receiver_y0, near(y + 0.5e0, 6) AS receiver_y1,
+    near(x + 10 - 1.5e0, 6) AS zone_x0, near(x + 10 + 1.5e0, 6) AS zone_x1, near(y - 1.5e0, 6) AS zone_y0,
+    near(y + 1.5e0, 6) AS zone_y1, near(x + 5, 6) AS xi, near(y, 6) AS yi FROM template_receivers"""
 )
 def default_design(s):
     return rounded(playbook.default_design(_template(s)))
@@ -665,9 +664,9 @@ def _moves(s, template):
 
 
 @query(
-    """SELECT design_id, "receiverId", kind, round(greatest(least(x0, f0), -10e0), 6) AS x0,
-    round(greatest(least(x1, f1), -10e0 + size), 6) AS x1, round(least(greatest(y0, 0e0), 53.3e0 - size), 6) AS y0,
-    round(least(greatest(y1, size), 53.3e0), 6) AS y1
+    """SELECT design_id, "receiverId", kind, near(greatest(least(x0, f0), -10e0), 6) AS x0,
+    near(greatest(least(x1, f1), -10e0 + size), 6) AS x1, near(least(greatest(y0, 0e0), 53.3e0 - size), 6) AS y0,
+    near(least(greatest(y1, size), 53.3e0), 6) AS y1
     FROM (SELECT design_id, "receiverId", 'receiver' AS kind, 1e0 AS size, -0.5e0 AS f0, 0.5e0 AS f1,
             x - 0.5e0 AS x0, x + 0.5e0 AS x1, y - 0.5e0 AS y0, y + 0.5e0 AS y1 FROM moves
           UNION ALL SELECT design_id, "receiverId", 'zone', 3e0, 22e0, 25e0,
@@ -703,7 +702,7 @@ def design_context(s):
     return checked.select("design_id", "absoluteYardlineNumber", "yardsToGo", "valid")
 
 
-@query("""SELECT design_id, "receiverId", route_type, round(xi, 6) AS xi, round(yi, 6) AS yi FROM bent""")
+@query("""SELECT design_id, "receiverId", route_type, near(xi, 6) AS xi, near(yi, 6) AS yi FROM bent""")
 def mid_route_point(s):
     from routeforge.functions.geometry import mid_route_point as bend
 

@@ -12,21 +12,20 @@ NULL_TOKEN = "NA"
 LAST_WEEK = 9
 
 
-def _ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+def _ddl(schema: dict[str, str]) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in schema.items())
 
 
-def _scan(spark: SparkSession, paths: list[str], schema) -> DataFrame:
+def _scan(spark: SparkSession, paths: list[str], schema: dict[str, str]) -> DataFrame:
     """Columns are found by name in the header; other columns of a file are not parsed."""
-    types = {f.name: f.dataType.simpleString() for f in schema.fields}
     header = spark.read.option("header", True).csv(paths[0]).columns
-    ddl = ", ".join(f"`{name}` {types.get(name, 'string')}" for name in header)
-    return spark.read.schema(ddl).option("header", True).option("nullValue", NULL_TOKEN).csv(paths)
+    found = {name: schema.get(name, "string") for name in header}
+    return spark.read.schema(_ddl(found)).option("header", True).option("nullValue", NULL_TOKEN).csv(paths)
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: dict[str, str]) -> DataFrame:
     """CSV with header; NA and empty fields are null."""
-    return _scan(spark, [path], schema).select(*schema.fieldNames())
+    return _scan(spark, [path], schema).select(*schema)
 
 
 def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,7 +40,7 @@ def read_tracking(spark: SparkSession, folder: str, weeks: int = LAST_WEEK) -> D
     paths = [f"{folder}/tracking_week_{i}.csv" for i in range(1, weeks + 1)]
     week = F.regexp_extract(F.col("_metadata.file_name"), r"week_(\d+)", 1).cast("int")
     frames = _scan(spark, paths, schemas.TRACKING)
-    return frames.select(*schemas.TRACKING.fieldNames(), week.alias("week"))
+    return frames.select(*schemas.TRACKING, week.alias("week"))
 
 
 def store_tracking(tracking: DataFrame, path: str) -> None:
@@ -51,7 +50,7 @@ def store_tracking(tracking: DataFrame, path: str) -> None:
 
 
 def load_tracking(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{_ddl(schemas.TRACKING)}, week int").parquet(path)
+    return spark.read.schema(_ddl({**schemas.TRACKING, "week": "int"})).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -78,7 +77,7 @@ def nest_templates(template: DataFrame) -> DataFrame:
     players = F.array_sort(F.collect_list(F.struct("slot", *columns)))
     per_alignment = template.groupBy(*FORMATION).agg(players.alias("_p")).select(
         *FORMATION,
-        F.struct(*[F.transform("_p", lambda p, c=c: p[c]).alias(c) for c in columns]).alias("_t"),
+        F.struct(*[F.col("_p").getField(c).alias(c) for c in columns]).alias("_t"),
     )
     per_formation = per_alignment.groupBy(FORMATION[0]).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(FORMATION[1], "_t")))).alias("_m")

@@ -1,0 +1,43 @@
+from conftest import rows
+from pyspark.sql import functions as F
+
+from routeforge.operators import playbook
+from routeforge.plans.clusters import build_clusters
+from routeforge.plans.open_receivers import build_features, score_designs, train_open_model, train_time_model
+from routeforge.plans.tables import Store
+
+
+def test_all_jobs_end_to_end(spark, season, tmp_path):
+    store = Store(spark, str(tmp_path))
+    tracking, people = season.tracking(), season.player_play()
+    build_clusters(spark, store, tracking, people, rounds=2)
+    zones = store.get("clusters_reception_zone")
+    used = store.get("clusters_route").select("cluster").distinct()
+    assert used.join(zones, "cluster", "left_anti").count() == 0
+    assert zones.groupBy("cluster").count().filter("count > 1").count() == 0
+
+    build_features(spark, store, tracking, season.plays(), people, season.players())
+    train_open_model(spark, store, rounds=2)
+    train_time_model(spark, store, rounds=2)
+    features, scores = store.get("orpsp_features"), store.get("orpsp_predictions")
+    assert features.count() == scores.count() > 0
+    assert scores.filter("orpsp < 0 or orpsp > 1").count() == 0
+    assert [r[0] for r in rows(store.get("balanced_accuracy"))] == ["test", "train"]
+
+    template = store.put(
+        "template",
+        playbook.formation_templates(tracking, season.plays(), people, season.players(), store.get("complete_plays")),
+    )
+    designs = season.plays().filter("playId < 24").select(
+        F.col("playId").alias("design_id"), *playbook.FORMATION, "absoluteYardlineNumber", "yardsToGo", "down"
+    )
+    known = [r[0] for r in store.get("encoder").filter("feature = 'route_mode'").select("value").collect()]
+    kind, x_zone = ("90angle", 12.0) if "90angle" in known else ("straight", 12.0)
+    moves = designs.join(playbook.receiver_slots(template), playbook.FORMATION).select(
+        "design_id", "receiverId", "x", "y", F.lit(x_zone).alias("x_zone"), F.col("y").alias("y_zone"), F.lit(kind).alias("route_type")
+    )
+    shown = score_designs(spark, store, template, designs, moves)
+    receivers = shown.filter("receiverId is not null")
+    assert receivers.count() == moves.count() > 0
+    assert receivers.filter("orpsp is null or route_time_mean is null").count() == 0
+    assert shown.filter("nflId is null").count() == designs.join(template, playbook.FORMATION).select("design_id").distinct().count()

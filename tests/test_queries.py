@@ -1,0 +1,80 @@
+"""The registered queries: contract, SQL twins, and the shape of their plans."""
+
+import re
+
+import pytest
+from conftest import SMALL
+
+import __spark_entry__ as entry
+from checks.compare import canonical, duck
+from checks.views_sql import VIEWS, used_views
+
+QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# Kept short: the full comparison is `python -m checks.compare`.
+CHECKED = [
+    "route_direction", "arrival_cut", "route_features", "route_name_zones", "cluster_route_mode",
+    "orpsp_target", "orpsp_features", "ordinal_encode", "hash_split", "roc_curve", "classification_report",
+    "qb_stats", "stats_trend", "play_view", "route_polyline", "receiver_cards", "formation_template",
+    "design_validation", "designed_features",
+]
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SMALL)
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_query_equals_its_sql(spark, con, name):
+    df = QUERIES[name](spark, SMALL)
+    rel = con.execute(ORACLE[name])
+    theirs = canonical(rel.fetchall(), [d[0] for d in rel.description])
+    mine = canonical([tuple(r) for r in df.collect()], df.columns)
+    assert mine[1] == theirs[1]
+    assert mine[0] == theirs[0]
+
+
+def test_entry_runs(spark):
+    assert entry.entry(spark).count() == 12
+
+
+def test_every_twin_belongs_to_a_query():
+    assert set(ORACLE) <= set(QUERIES)
+    assert all(v in VIEWS for sql in ORACLE.values() for v in used_views(sql))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["relative_route", "route_features", "cluster_assign", "reception_zones", "start_features", "play_view", "route_polyline", "roc_curve"],
+)
+def test_no_pairs_of_rows(spark, name):
+    text = plan(QUERIES[name](spark, SMALL))
+    assert "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_frames_are_filtered_and_pruned_in_the_scan(spark):
+    text = plan(QUERIES["route_direction"](spark, SMALL))
+    assert "EqualTo(frameType,AFTER_SNAP)" in text and "EqualTo(frameType,BEFORE_SNAP)" in text
+    for columns in re.findall(r"ReadSchema: struct<(.*?)>", text):
+        assert "displayName" not in columns and "event" not in columns
+
+
+def test_raw_frames_meet_no_window(spark):
+    for name in ("route_direction", "relative_route", "arrival_cut", "start_features", "reception_zones"):
+        assert "Window" not in plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_features_follow_the_frame_join_without_another_exchange(spark):
+    """Merging, ranking and fitting stay in the stage of the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["route_features"](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    head = text[: text.index("SortMergeJoin")]
+    assert "Window" in head and "Exchange" not in head
