@@ -269,7 +269,7 @@ def play_features(s):
 
 
 def _cluster_features(s):
-    modes = zones.cluster_modes(s.player_play(), s.clusters())
+    modes = stage_table(zones.cluster_modes(s.player_play(), s.clusters()), "modes")
     return receivers.cluster_features(_complete(s), s.clusters(), modes, _zones(s))
 
 

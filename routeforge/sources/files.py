@@ -80,9 +80,9 @@ def nest_templates(template: DataFrame) -> DataFrame:
         F.struct(*[F.col("_p").getField(c).alias(c) for c in columns]).alias("_t"),
     )
     per_formation = per_alignment.groupBy(FORMATION[0]).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(FORMATION[1], "_t")))).alias("_m")
+        F.map_from_entries(F.collect_list(F.struct(FORMATION[1], "_t"))).alias("_m")
     )
-    whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct(FORMATION[0], "_m"))))
+    whole = F.map_from_entries(F.collect_list(F.struct(FORMATION[0], "_m")))
     return per_formation.agg(F.to_json(whole).alias("value"))
 
 
