@@ -185,34 +185,48 @@ def standard_routes(
     """The whole chain from raw tracking to relative routes.
 
     Equal to mirror_left_plays, route_tracking, route_direction, mirror_right_routes and
-    relative_route one after another, but start point, side and route name of a player
-    are brought together first, in one small table; the wide frames are shuffled once.
+    relative_route one after another. Here the frames on a route are brought to their
+    player once; the side of a route is found from them where they lie, and joined back
+    where they lie, so the wide table is shuffled a single time.
     """
     frames = mirror_left_plays(tracking).filter(F.col("nflId").isNotNull())
     runners = route_runners(player_play).select(*ROUTE_KEYS, "routeRan")
-    starts = start_points(frames).join(runners.select(*ROUTE_KEYS), ROUTE_KEYS, "left_semi")
-    anchors = _reach(frames, starts, max_route_frame)
+    starts = start_points(frames).join(runners, ROUTE_KEYS)
+    on_route = (
+        after_snap(frames)
+        .select(*ROUTE_KEYS, "week", "frameId", "x", "y", "event")
+        .join(starts.select(*ROUTE_KEYS, "frameId_start"), ROUTE_KEYS)
+        .filter(_on_route(max_route_frame))
+        # Equal frames become one row with a count. As grouping keys all columns stay in
+        # both uses of this table, which lets them share one exchange of the frames.
+        .groupBy(*ROUTE_KEYS, "week", "frameId", "x", "y", "event")
+        .agg(F.count("*").alias("times"), F.max("frameId_start").alias("frameId_start"))
+        .withColumn("route_frameId", F.col("frameId") - F.col("frameId_start") - 1)
+    )
+    ends = on_route.groupBy(*ROUTE_KEYS).agg(F.max_by("y", "frameId").alias("_y_end"))
     arrivals = _arrivals(frames, starts, player_play, max_route_frame)
-    side = ~F.col("route_left")
-    anchors = (
-        anchors.join(runners, ROUTE_KEYS)
-        .withColumn("y_start", G.flip_when(side, F.col("y_start"), FIELD_WIDTH))
+    sides = (
+        ends.join(starts.drop("frameId_start"), ROUTE_KEYS)
+        .withColumn("route_left", F.col("_y_end") > F.col("y_start"))
         .join(arrivals, ROUTE_KEYS, "left")
     )
+    right = ~F.col("route_left")
     measured = (
-        after_snap(frames)
-        .join(anchors, ROUTE_KEYS)
-        .filter(_on_route(max_route_frame))
-        .withColumn("y", G.flip_when(side, F.col("y"), FIELD_WIDTH))
+        on_route.join(sides.drop("_y_end"), ROUTE_KEYS)
+        .withColumns(
+            {
+                "y": G.flip_when(right, F.col("y"), FIELD_WIDTH),
+                "y_start": G.flip_when(right, F.col("y_start"), FIELD_WIDTH),
+            }
+        )
         .withColumns(
             {
                 "relative_x": F.col("x") - F.col("x_start"),
                 "relative_y": F.col("y") - F.col("y_start"),
-                "route_frameId": F.col("frameId") - F.col("frameId_start") - 1,
             }
         )
     )
-    cut = _kept_copies(measured)
+    cut = _kept_copies(measured).withColumn("copies", F.col("copies") * F.col("times")).drop("times")
     return cut if weighted else repeat_copies(cut)
 
 
