@@ -12,7 +12,7 @@ import os
 import time
 
 from checks.registry import QUERIES
-from routeforge.session import build_session
+from routeforge.session import build_session, remove_stage_tables
 from routeforge.sources.season import Season
 
 HEADLINE = [
@@ -53,6 +53,7 @@ def main() -> None:
         started = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - started, 2)
+    remove_stage_tables(spark)
     spark.stop()
     total = round(sum(v for k, v in times.items() if k != "season"), 2)
     print(

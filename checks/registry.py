@@ -740,11 +740,11 @@ def designed_features(s):
 
 ROUNDS, STEP = 8, 0.1
 
-_kept: dict[tuple[str, str, str], object] = {}
+_kept: dict[tuple[str, int, str, str], object] = {}
 
 
 def _once(s, name, build):
-    key = (s.spark.sparkContext.applicationId, s.folder, name)
+    key = (s.spark.sparkContext.applicationId, id(s.spark), s.folder, name)
     if key not in _kept:
         _kept[key] = build()
     return _kept[key]

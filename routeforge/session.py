@@ -54,6 +54,10 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/routeforge-{spark.sparkContext.applicationId}"
+
+
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -62,6 +66,13 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     broadcasts a small side on evidence and shuffles a large one.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stage_tables(spark: SparkSession) -> None:
+    """Drop what this application staged. For the end of an application: frames read from
+    a stage table are of no use afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

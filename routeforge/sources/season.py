@@ -29,8 +29,8 @@ def _int(c: Column) -> Column:
     return c.cast("int")
 
 
-# Tables already written in this application: (application, folder, table) -> DataFrame.
-_written: dict[tuple[str, str, str], DataFrame] = {}
+# Tables already written: (application, session, folder, table) -> DataFrame.
+_written: dict[tuple[str, int, str, str], DataFrame] = {}
 
 
 def _written_once(derive):
@@ -38,7 +38,7 @@ def _written_once(derive):
     the jobs hand tables to each other."""
 
     def table(self: Season) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, derive.__name__)
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.folder, derive.__name__)
         if key not in _written:
             split = ["week"] if derive.__name__ == "tracking" else []
             _written[key] = stage_table(derive(self), f"season-{derive.__name__}", split)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from routeforge.session import build_session  # noqa: E402
+from routeforge.session import build_session, remove_stage_tables  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_stage_tables(session)
     session.stop()
 
 
