@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeforge.llm import bpe, contamination, decision_list, secrets, sharding, token_counts, token_files
+from routeforge.llm import bpe, contamination, decision_list, parity_join, secrets, sharding, token_counts, token_files
 from routeforge.llm.library_bpe import read_spec
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parity_join.near_duplicates(_table(spark, folder, "documents")).drop("keeps")
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs, spec = _table(spark, folder, "documents"), _spec()
     return bpe.encode_and_decode(docs, spec, bpe.ship_lexicon(docs, spec))
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op6_sharding": op6_sharding,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
 }
