@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time. It bounds memory only; no result depends on it.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 8_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:

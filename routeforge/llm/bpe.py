@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from routeforge.llm.arrow_text import slices, spread, texts_of, words_of
+from routeforge.llm.library_bpe import byte_letters
 from routeforge.llm.lexicon import Lexicon, compile_lexicon
 from routeforge.session import scratch_folder
 
@@ -36,19 +37,6 @@ LONG_WORD = 64
 _NEVER = np.iinfo(np.int64).max
 
 
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable, else the next
-    character from U+0100 on."""
-    out, extra = [], 0
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            out.append(chr(b))
-        else:
-            out.append(chr(256 + extra))
-            extra += 1
-    return out
-
-
 class Vocabulary:
     """Rules of a vocabulary file whose words end in a suffix and whose white space is dropped."""
 
