@@ -54,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes_by_keys(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column] | None = None
 ) -> DataFrame:
-    """(id, component) over the links among ``members`` (key, id, n): pairs that share a key and that ``verify`` confirms.
+    """(id, component) over the links among ``members`` (key, id, n; rows may repeat): pairs that share a key and that ``verify`` confirms.
 
     Every pair that shares a key is either verified or lies in one component already, so no component is split:
 
@@ -63,18 +63,21 @@ def classes_by_keys(
 
     ``possible`` is a condition on the sizes of a pair that any link fulfils. ``verify`` takes distinct pairs (a < b) and returns those that link.
     """
-    buckets = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("held")).where("held > 1")
-    live = stage_table(members.join(buckets, "key"), "shared-keys")
-    first = live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    # Only the keys are counted, so that the larger shuffle has keys alone.
+    shared = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    live = stage_table(members.join(shared, "key").distinct(), "shared-keys")
+    pivots = live.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    first = live.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tested = stage_table(first, "pairs")
     links = stage_table(verify(tested), "links")
     found = stage_table(components(links), "components")
 
+    placed = live.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = placed.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")
+    )
     # A key of two ids is settled by its one pair.
-    open_ = live.where("held > 2").select("key", "id", "n").join(found, "id", "left")
-    open_ = open_.withColumn("component", F.coalesce("component", "id"))
-    several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = stage_table(open_.join(several.select("key"), "key"), "open-keys")
+    open_ = stage_table(placed.join(several.where("lo <> hi and held > 2").select("key"), "key"), "open-keys")
     sizes = open_.groupBy("key", "component").agg(F.count("*").alias("held"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
     outside = open_.join(main, "key").where("component <> main").select(

@@ -35,6 +35,8 @@ PART_BITS = 4096
 #: Pairs whose common member's text is sent once.
 PAIRS_PER_TEXT = 256
 GROWTH = 1.25
+#: Bytes of text whose sets a worker makes at a time.
+SLICE = 2_000_000
 
 
 @dataclass
@@ -144,7 +146,7 @@ SKETCHES = "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<lo
 
 def _sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches, "text"):
+        for table in slices(batches, "text", SLICE):
             sets = shingle_sets(texts_of(table), width)
             key, owner = sketch_keys(sets, percent)
             n = table.num_rows
@@ -188,7 +190,7 @@ def confirm(sent: DataFrame, sets_of, links) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
-        for table in slices(batches, "text"):
+        for table in slices(batches, "text", SLICE):
             sets = sets_of(texts_of(table))
             a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
             out = []

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeforge.llm import bpe, contamination, decision_list, parity_join, secrets, sharding, token_counts, token_files
+from routeforge.llm import bpe, contamination, decision_list, line_dedup, parity_join, secrets, sharding, token_counts, token_files
 from routeforge.llm.library_bpe import read_spec
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,6 +53,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    decided = line_dedup.line_decisions(_table(spark, folder, "documents"))
+    return decided.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.contiguous_shards(_table(spark, folder, "documents"), SHARDS)
     return placed.select(
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_bpe": op8_bpe,
