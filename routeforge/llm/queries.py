@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeforge.llm import bpe, contamination, decision_list, line_dedup, parity_join, secrets, sharding, token_counts, token_files
+from routeforge.llm import bpe, contamination, decision_list, html_extraction, line_dedup, parity_join, secrets, sharding, token_counts, token_files
 from routeforge.llm.library_bpe import read_spec
 
 VOCABULARY = "word_bpe_49k.json"
@@ -78,6 +78,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.for_every_limit(token_counts.length_histogram(_table(spark, folder, "documents"), _spec()))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.main_texts(_table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -88,6 +92,7 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE: dict[str, str] = {}
