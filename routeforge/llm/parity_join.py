@@ -209,7 +209,7 @@ def confirm(sent: DataFrame, sets_of, links) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and keeps (one row of each component).
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id and keeps (one row of each component).
 
     Documents link when 100 times the common shingles are at least ``percent`` times all. component_id is the least doc_id that
     links reach. Null or wordless texts link with nothing and are components of their own (component_id is their doc_id,
@@ -250,11 +250,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     named_classes = stage_table(
         classes.join(roots, "root").select("n", "h1", "h2", "component_id", roots["keeper"]["row"].alias("kept_row")), "classes"
     )
-    joined = rows.select("row", "doc_id", "n", "h1", "h2").join(named_classes, ["n", "h1", "h2"], "left")
+    joined = rows.select("row", "doc_id", "text_hash", "n", "h1", "h2").join(named_classes, ["n", "h1", "h2"], "left")
     alone = F.col("n") == 0
     return joined.select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | (F.col("row") == F.col("kept_row"))).alias("keeps"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`, all columns unchanged.
+
+    Of rows equal in doc_id and text, which are one component unless they have no words, one stays.
+    """
+    judged = near_duplicates(docs, percent, width)
+    gone = judged.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
+        F.max("keeps").alias("stays"), F.count("*").alias("copies"), F.min("n_shingles").alias("words")
+    )
+    gone = stage_table(gone.where("not stays or (copies > 1 and words > 0)"), "near-duplicates")
+    marked = docs.withColumns({"its_id": F.col("doc_id").cast("long"), "its_hash": F.xxhash64("text")})
+    listed = gone.select("l_id", "l_hash", "stays")
+    joined = marked.join(broadcast_if_small(listed), F.expr("its_id <=> l_id and its_hash = l_hash"), "left")
+    kept = joined.where("stays is null")
+    if not gone.where("stays").isEmpty():
+        kept = kept.unionByName(joined.where("stays").dropDuplicates(["its_id", "its_hash"]))
+    return kept.select(*docs.columns)

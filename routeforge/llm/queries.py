@@ -66,7 +66,7 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return parity_join.near_duplicates(_table(spark, folder, "documents")).drop("keeps")
+    return parity_join.near_duplicates(_table(spark, folder, "documents")).drop("keeps", "text_hash")
 
 
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:

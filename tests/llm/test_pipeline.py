@@ -1,0 +1,95 @@
+"""The pipeline stage by stage against brute force, each on its own input."""
+
+import hashlib
+import re
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.llm.conftest import EDGE
+from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_line_dedup import cut
+from tests.llm.test_texts import brute_contamination, brute_stats
+
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def five_shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def kept_of_near(rows):
+    sets = [five_shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group[root(i)] = root(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if sets[k]:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return {i for k, (i, _) in enumerate(rows) if not sets[k] or least[root(k)] == i}
+
+
+def pairs(df):
+    return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def test_stages(spark, folder, documents, tmp_path):
+    docs = documents
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = pairs(docs)
+        docs = stage(spark, docs, folder)
+        if k < 4:
+            assert docs.columns == documents.columns and docs.dtypes == documents.dtypes
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "quality_rules":
+            stats = {i: brute_stats(t) for i, t in before}
+            sound = {i for i, s in stats.items() if s[0] >= 10 and 100 * s[4] <= 20 * s[0]}
+            good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").collect()}
+            kept = {i for i, _ in pairs(docs)}
+            assert kept <= sound and len(kept & good) >= 0.98 * len(sound & good)
+            assert pairs(docs) == [(i, t) for i, t in before if i in kept]
+        elif name == "line_dedup":
+            assert pairs(docs) == sorted(cut(before, brute_lines(before)[0]))
+        elif name == "ngram_jaccard_join":
+            kept = kept_of_near(before)
+            assert pairs(docs) == [(i, t) for i, t in before if i in kept]
+        elif name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+            assert pairs(docs) == [(i, t) for i, t in before if not brute_contamination(t, items)[1]]
+        else:
+            got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in docs.collect()}
+            for i, t in before:
+                ids = LIBRARY.encode(t, add_special_tokens=False).ids
+                assert got.pop(i) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+            assert not got
+    whole = corpus_pipeline.run(spark, folder)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_near_duplicate_stage_on_odd_rows(edge, spark, folder):
+    got = corpus_pipeline.drop_near_duplicates(spark, edge, folder)
+    assert got.columns == edge.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert kept == sorted([e for k, e in enumerate(EDGE) if e not in EDGE[:k]], key=repr)
+
+
+def test_empty_and_odd_tables(spark, folder, documents):
+    nothing = documents.limit(0)
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in EDGE], documents.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, folder).count() == 0
+        stage(spark, odd, folder).collect()
