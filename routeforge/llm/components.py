@@ -1,4 +1,4 @@
-"""Distributed union-find, and the classes of a similarity relation found through shared keys.
+"""Distributed union-find.
 
 Nothing here is gathered in one task or on the driver: groups are reduced with map-side aggregates and joined back, so that a
 key that holds a third of all rows is split like any other skewed join.
@@ -6,9 +6,7 @@ key that holds a third of all rows is split like any other skewed join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeforge.session import stage_table
@@ -49,47 +47,3 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.union(edges.select("b", "b").distinct()) if before[0] else ends
-
-
-def classes_by_keys(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column] | None = None
-) -> DataFrame:
-    """(id, component) over the links among ``members`` (key, id, n; rows may repeat): pairs that share a key and that ``verify`` confirms.
-
-    Every pair that shares a key is either verified or lies in one component already, so no component is split:
-
-    1. Each key's ids are paired with the least of them only, and these pairs are verified.
-    2. Where a key still holds several components, the ids outside its largest one are paired with the ids of other components.
-
-    ``possible`` is a condition on the sizes of a pair that any link fulfils. ``verify`` takes distinct pairs (a < b) and returns those that link.
-    """
-    # Only the keys are counted, so that the larger shuffle has keys alone.
-    shared = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    live = stage_table(members.join(shared, "key").distinct(), "shared-keys")
-    pivots = live.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
-    first = live.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    tested = stage_table(first, "pairs")
-    links = stage_table(verify(tested), "links")
-    found = stage_table(components(links), "components")
-
-    placed = live.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")
-    )
-    # A key of two ids is settled by its one pair.
-    open_ = stage_table(placed.join(several.where("lo <> hi and held > 2").select("key"), "key"), "open-keys")
-    sizes = open_.groupBy("key", "component").agg(F.count("*").alias("held"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
-    outside = open_.join(main, "key").where("component <> main").select(
-        "key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc")
-    )
-    inside = open_.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    condition = (outside["key"] == inside["key"]) & (F.col("xc") != F.col("yc"))
-    if possible is not None:
-        condition &= possible("xn", "yn")
-    pairs = outside.join(inside, condition).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = stage_table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = stage_table(verify(rest), "links")
-    if more.isEmpty():
-        return found
-    return components(links.union(more))

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of
-from routeforge.llm.components import broadcast_if_small, classes_by_keys
-from routeforge.llm.parity_join import Sets, confirm, send_pairs
+from routeforge.llm.components import broadcast_if_small
+from routeforge.llm.similar_texts import Sets, classes_by_keys
 from routeforge.session import stage_table
 
 SHINGLE = 9
 PERCENT = 80
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995, at 0.9 with 0.99998.
-BANDS, ROWS = 10, 4
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 8 = 0.985, at 0.9 with 0.9998.
+BANDS, ROWS = 8, 4
 BINS = BANDS * ROWS
 SLICE = 2_000_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -152,20 +152,14 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     """
     rows = stage_table(_signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed-lines")
     members = rows.select("fresh", F.posexplode("keys").alias("at", "key")).select(
-        "key", F.expr(f"fresh[CAST(at DIV {BANDS} AS INT)]").alias("id"), F.lit(0).alias("n")
+        "key", F.expr(f"fresh[CAST(at DIV {BANDS} AS INT)]").alias("id")
     )
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    def texts_of(ids: DataFrame) -> DataFrame:
         lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))
-        texts = lines.join(broadcast_if_small(ids), "id").select("id", "text").dropDuplicates(["id"])
-        return confirm(
-            send_pairs(pairs, stage_table(texts, "pair-lines")),
-            shingle_sets,
-            lambda common, union: 100 * common >= PERCENT * union,
-        )
-
-    similar = classes_by_keys(members, verify)
+        return lines.join(broadcast_if_small(ids), "id").select("id", "text").dropDuplicates(["id"])
+
+    similar = classes_by_keys(members, texts_of, shingle_sets, PERCENT)
     lines = rows.select("row", "doc_id", F.posexplode("lines").alias("place", "id")).where("id is not null")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", "place")
     firsts = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("held"))

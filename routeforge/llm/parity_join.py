@@ -14,7 +14,6 @@ that both have.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,32 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of, words_of
-from routeforge.llm.components import broadcast_if_small, classes_by_keys
+from routeforge.llm.components import broadcast_if_small
+from routeforge.llm.similar_texts import Sets, classes_by_keys
 from routeforge.session import stage_table
 
 SHINGLE = 3
 PERCENT = 90
 #: Bits in a part of a sketch.
 PART_BITS = 4096
-#: Pairs whose common member's text is sent once.
-PAIRS_PER_TEXT = 256
 GROWTH = 1.25
 #: Bytes of text whose sets a worker makes at a time.
 SLICE = 2_000_000
 
 
-@dataclass
-class Sets:
-    """Distinct hashes of several texts, sorted within each: text i at starts[i]:starts[i+1]."""
-
-    hashes: np.ndarray
-    starts: np.ndarray
-
-    @property
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.starts)
-
-
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:
     """A-Z count as lower case; a text of fewer than ``width`` words is one shingle; one without words has none."""
     words = words_of(pc.ascii_lower(texts))
@@ -172,42 +158,6 @@ def _sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return rows.mapInArrow(sketch, SKETCHES)
 
 
-def send_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts (id, text) of ``pairs`` (a, b) side by side: rows (a, salt, b, text), a's own text first (b null).
-
-    A common member's text goes out once per PAIRS_PER_TEXT pairs, and each such bundle is a group of its own.
-    """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).alias("salts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a")
-    tails = salted.join(texts.withColumnRenamed("id", "b"), "b")
-    rows = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").union(tails.select("a", "salt", "b", "text"))
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-
-def confirm(sent: DataFrame, sets_of, links) -> DataFrame:
-    """The pairs (a, b) of :func:`send_pairs` for which ``links`` holds of their sets, as ``sets_of`` makes them from texts."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.zeros(0, np.uint64)
-        for table in slices(batches, "text", SLICE):
-            sets = sets_of(texts_of(table))
-            a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
-            out = []
-            for k, other in enumerate(b):
-                mine = sets.hashes[sets.starts[k] : sets.starts[k + 1]]
-                if other is None:
-                    head = mine
-                    continue
-                at = np.minimum(np.searchsorted(head, mine), max(len(head) - 1, 0))
-                common = int((head[at] == mine).sum()) if len(head) and len(mine) else 0
-                if links(common, len(head) + len(mine) - common):
-                    out.append((a[k], other))
-            yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return sent.mapInArrow(check, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id and keeps (one row of each component).
 
@@ -225,26 +175,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     equal = stage_table(equal, "equal-sets")
     copies = named.select("row", "n", "h1", "h2").join(equal, ["n", "h1", "h2"]).where("row <> node").select("row")
     distinct = named.join(broadcast_if_small(stage_table(copies, "copies")), "row", "left_anti")
-    members = distinct.select(F.explode("keys").alias("key"), F.col("row").alias("id"), "n")
+    members = distinct.select(F.explode("keys").alias("key"), F.col("row").alias("id"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-ids")
-        needed = rows.select("row", "doc_id", "text_hash").join(broadcast_if_small(ids), "row")
-        needed = stage_table(needed.withColumnRenamed("row", "id"), "pair-rows")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        needed = rows.select(F.col("row").alias("id"), "doc_id", "text_hash").join(broadcast_if_small(ids), "id")
+        needed = stage_table(needed, "candidates")
         asked = broadcast_if_small(needed.select("id", F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash")))
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
         same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash"))
-        texts = stage_table(source.join(asked, same).select("id", "text").dropDuplicates(["id"]), "pair-texts")
-        return confirm(
-            send_pairs(pairs, texts),
-            lambda t: shingle_sets(t, width),
-            lambda common, union: common > 0 and 100 * common >= percent * union,
-        )
-
-    def possible(x: str, y: str):
-        return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+        return source.join(asked, same).select("id", "text").dropDuplicates(["id"])
 
-    found = classes_by_keys(members, verify, possible)
+    found = classes_by_keys(members, texts_of, lambda texts: shingle_sets(texts, width), percent)
     classes = equal.join(found, equal["node"] == found["id"], "left").withColumn("root", F.coalesce("component", "node"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("keeper"))
     named_classes = stage_table(
