@@ -758,8 +758,8 @@ def _shapes(s):
 
 @query()
 def exemplars(s):
-    """Exemplars of the first week's routes."""
-    return exemplar_clustering.train_exemplars(_shapes(s).filter(F.col("week") == 1))
+    """Exemplars of the routes of all weeks."""
+    return exemplar_clustering.train_exemplars(_shapes(s))
 
 
 @query()

@@ -44,11 +44,13 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names. Only a single local machine may go without: it gets a temporary one."""
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="routeforge-")
     return _local_scratch

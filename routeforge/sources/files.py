@@ -9,7 +9,6 @@ from routeforge import schemas
 from routeforge.operators.playbook import FORMATION
 
 NULL_TOKEN = "NA"
-LAST_WEEK = 9
 
 
 def _ddl(schema: dict[str, str]) -> str:
@@ -33,11 +32,15 @@ def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_csv(spark, f"{folder}/{name}.csv", schemas.SOURCES[name])
 
 
-def read_tracking(spark: SparkSession, folder: str, weeks: int = LAST_WEEK) -> DataFrame:
-    """Weekly tracking files 1..weeks in one scan, with the week from the file name."""
-    if not 1 <= weeks <= LAST_WEEK:
-        raise ValueError(f"weeks should be between 1 and {LAST_WEEK}")
-    paths = [f"{folder}/tracking_week_{i}.csv" for i in range(1, weeks + 1)]
+def read_tracking(spark: SparkSession, folder: str, weeks: int | None = None) -> DataFrame:
+    """Weekly tracking files in one scan, with the week from the file name: weeks 1..weeks, each of which has to be there, or
+    all that the folder holds."""
+    if weeks is not None and weeks < 1:
+        raise ValueError("weeks should be 1 or more")
+    if weeks is None:
+        paths = [f"{folder}/tracking_week_*.csv"]
+    else:
+        paths = [f"{folder}/tracking_week_{i}.csv" for i in range(1, weeks + 1)]
     week = F.regexp_extract(F.col("_metadata.file_name"), r"week_(\d+)", 1).cast("int")
     frames = _scan(spark, paths, schemas.TRACKING)
     return frames.select(*schemas.TRACKING, week.alias("week"))

@@ -41,9 +41,12 @@ def test_tracking_weeks(spark, tmp_path):
     files.store_tracking(got, str(tmp_path / "stored"))
     stored = files.load_tracking(spark, str(tmp_path / "stored"))
     assert rows(stored.filter("week = 2"), "week", "y") == [(2, 2.5)]
-    for bad in (0, 10):
+    assert rows(files.read_tracking(spark, str(tmp_path)), "week") == [(1,), (2,), (3,)]
+    for bad in (0, -1):
         with pytest.raises(ValueError):
             files.read_tracking(spark, str(tmp_path), bad)
+    with pytest.raises(Exception, match="tracking_week_4"):
+        files.read_tracking(spark, str(tmp_path), 10)
 
 
 def test_templates_round_trip(spark, tmp_path):
