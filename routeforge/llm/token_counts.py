@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import slices, texts_of
 from routeforge.llm.library_bpe import encoder_for
+from routeforge.session import stage_table
 
 #: Lengths per block of the two-level sums: one window runs inside blocks, one over block totals.
 BLOCK = 1024
@@ -45,6 +46,8 @@ def for_every_limit(histogram: DataFrame) -> DataFrame:
     tokens_within, truncated_total (tokens left when each document is cut at the limit), tokens_lost, and
     quantile (the share of documents that fit).
     """
+    # The histogram is read three times; written out, the documents are encoded once.
+    histogram = stage_table(histogram, "length-histogram")
     rows = histogram.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn(
         "block", F.floor(F.col("length") / BLOCK)
     )
