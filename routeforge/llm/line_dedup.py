@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of
 from routeforge.llm.components import broadcast_if_small
-from routeforge.llm.similar_texts import Sets, classes_by_keys
+from routeforge.llm.similar_texts import Sets, classes_by_keys, sets_by_owner
 from routeforge.session import stage_table
 
 SHINGLE = 9
@@ -66,12 +66,7 @@ def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:
     hashes, owner = _shingles(texts, width)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    counts = np.bincount(owner[new], minlength=len(texts))
-    return Sets(hashes[new], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
+    return sets_by_owner(hashes, owner, len(texts))
 
 
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:

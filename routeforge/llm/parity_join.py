@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of, words_of
 from routeforge.llm.components import broadcast_if_small
-from routeforge.llm.similar_texts import Sets, classes_by_keys
+from routeforge.llm.similar_texts import Sets, classes_by_keys, sets_by_owner
 from routeforge.session import stage_table
 
 SHINGLE = 3
@@ -58,13 +58,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:
                 value = mix(value + hashes[first + k], k + 1)
             parts.append(mix(value, 1000 + size))
             owners.append(np.flatnonzero(counts == size))
-    flat, who = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((flat, who))
-    flat, who = flat[order], who[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (who[1:] != who[:-1])
-    flat, who = flat[new], who[new]
-    return Sets(flat, np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))]).astype(np.int64))
+    return sets_by_owner(np.concatenate(parts), np.concatenate(owners), n)
 
 
 @lru_cache(maxsize=8)

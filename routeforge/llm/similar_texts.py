@@ -39,6 +39,20 @@ class Sets:
         return np.diff(self.starts)
 
 
+def sets_by_owner(hashes: np.ndarray, owner: np.ndarray, n: int) -> Sets:
+    """The sets of n texts, given their elements' hashes in any order, with repeats, and the text each is in."""
+    hashes = hashes[np.argsort(owner, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int64)
+    # Sorting each text's run in place is ten times faster than sorting all by (owner, hash).
+    for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        hashes[first:end].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[starts[:-1][np.diff(starts) > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)]).astype(np.int64)
+    return Sets(hashes[new], kept[starts])
+
+
 SetsOf = Callable[[pa.Array], Sets]
 
 
