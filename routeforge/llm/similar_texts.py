@@ -22,8 +22,10 @@ from routeforge.session import stage_table
 PAIRS_PER_TEXT = 256
 #: 64-bit words of a candidate's parity sketch.
 SKETCH_WORDS = 16
-#: Rounds in which the ids of a key are compared with one of them only, before the rest is compared.
+#: Rounds in which the ids of a key are compared with one of them only, before the rest is compared. They end early when fewer
+#: than one pair in STAR_YIELD is a link. Both settle only how much is found cheaply: the rest is compared in any case.
 STAR_ROUNDS = 3
+STAR_YIELD = 10
 SLICE = 2_000_000
 
 
@@ -165,8 +167,8 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
         pairs = stage_table(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         new = links_of(sketched(sketched(pairs, "a", "x"), "b", "y").where(_may_link("x", "y", percent)).select("a", "b"))
-        more = not new.isEmpty()
-        if links is None or more:
+        n_new = new.count()
+        if links is None or n_new:
             links = new if links is None else links.union(new)
             found = stage_table(components(links), "components")
             placed = live.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -175,8 +177,9 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
             # A key of two ids is settled by its one pair.
             main = main.where("parts > 1 and ids > 2").select("key", "main")
             placed = stage_table(placed.join(main, "key"), "open-keys")
+            live = placed.select("key", "id")  # components only grow, so a settled key stays settled
             outside = placed.where("component <> main").select("key", "id")
-        if not more:
+        if STAR_YIELD * n_new <= pairs.count():
             break
 
     left = sketched(placed.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("xc")), "x", "x")
