@@ -22,9 +22,11 @@ from routeforge.session import stage_table
 PAIRS_PER_TEXT = 256
 #: 64-bit words of a candidate's parity sketch.
 SKETCH_WORDS = 16
-#: Rounds in which the ids of a key are compared with one of them only, before the rest is compared. They end early when fewer
-#: than one pair in STAR_YIELD is a link. Both settle only how much is found cheaply: the rest is compared in any case.
+#: Rounds in which the ids of a key are compared with few of them only, before the rest is compared: in the first, with the key's
+#: least id; in later ones, with STAR_DRAWS ids drawn from the key's largest component. They end early when fewer than one pair
+#: in STAR_YIELD is a link. All this settles only how much is found cheaply.
 STAR_ROUNDS = 3
+STAR_DRAWS = 4
 STAR_YIELD = 10
 SLICE = 2_000_000
 
@@ -64,7 +66,7 @@ def send_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A common member's text goes out once per PAIRS_PER_TEXT pairs, and each such bundle is a group of its own.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).alias("salts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    salted = stage_table(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "salted-pairs")
     heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a")
     tails = salted.join(texts.withColumnRenamed("id", "b"), "b")
     rows = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").union(tails.select("a", "salt", "b", "text"))
@@ -130,7 +132,8 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     Every pair that shares a key is either ruled out by its sizes or sketches, or verified, or lies in one component already, so
     no component is split:
 
-    1. In a few rounds, a key's ids outside its largest component (at first, all) are compared with the least of them.
+    1. In a few rounds, a key's ids outside its largest component (at first, all) are compared with few of them: the least, then some
+       drawn from the largest component.
     2. Where a key then still holds several components, the ids outside the largest are compared with those of other components.
     """
     # Only the keys are counted, so that the larger shuffle has keys alone.
@@ -159,13 +162,19 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     links: DataFrame | None = None
     found = placed = None
     outside = live
-    for _ in range(STAR_ROUNDS):
-        pivots = outside.groupBy("key").agg(F.min("id").alias("a"))
-        pairs = outside.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    for turn in range(STAR_ROUNDS):
+        if turn:
+            draws = [F.min_by("id", F.xxhash64("id", F.lit(STAR_DRAWS * turn + k))) for k in range(STAR_DRAWS)]
+            drawn = placed.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("drawn"))
+            pairs = outside.join(drawn, "key").select(F.explode("drawn").alias("a"), F.col("id").alias("b"))
+        else:
+            pivots = outside.groupBy("key").agg(F.min("id").alias("a"))
+            pairs = outside.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b"))
+        pairs = pairs.distinct().withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = stage_table(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = pairs.select("lo", "hi") if tested is None else tested.union(pairs.select("lo", "hi"))
         new = links_of(sketched(sketched(pairs, "a", "x"), "b", "y").where(_may_link("x", "y", percent)).select("a", "b"))
         n_new = new.count()
         if links is None or n_new:
@@ -185,6 +194,7 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     left = sketched(placed.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("xc")), "x", "x")
     right = sketched(placed.select("key", F.col("id").alias("y"), F.col("component").alias("yc")), "y", "y")
     condition = (left["key"] == right["key"]) & (F.col("xc") != F.col("yc")) & _may_link("x", "y", percent)
-    rest = left.join(right, condition).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    new = links_of(rest.join(tested, ["a", "b"], "left_anti"))
+    rest = left.join(right, condition).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+    rest = rest.join(tested, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    new = links_of(rest)
     return found if new.isEmpty() else components(links.union(new))
