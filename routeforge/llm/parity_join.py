@@ -71,8 +71,12 @@ def size_bands(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     parts = []
     for first, end in zip(firsts[:-1], firsts[1:], strict=True):
         least = 2 * (end - 1) * (100 - percent) // (100 + percent) + 1
-        empty = least * np.exp(-first / least)
-        parts.append(least + int(empty + 3 * np.sqrt(empty)) if least > 1 else 1)
+        # As many more as the smallest set entered here leaves empty, so that few sets need other hashes.
+        smallest, m, before = max(1, -(-percent * first // 100)), least, 0
+        while least > 1 and m != before:
+            empty, before = m * np.exp(-smallest / m), m
+            m = min(2 * least, max(m, least + int(empty + 3 * np.sqrt(empty))))  # small bands have no fixed point below
+        parts.append(m)
     return np.array(firsts[:-1], np.int64), np.array(parts, np.int64)
 
 

@@ -127,3 +127,12 @@ def test_sets_of_short_and_repeating_texts():
     assert sets.sizes.tolist() == [0, 1, 1, 1, 1, 3, 1]
     runs = [tuple(sets.hashes[a:b]) for a, b in zip(sets.starts, sets.starts[1:])]
     assert runs[1] == runs[2] and len(set(runs)) == 6
+
+
+def test_large_sets_need_few_hashes_at_low_similarity():
+    """Bands hold enough parts for the smallest set entered in them, so that keys stay below the set's size."""
+    rng = np.random.default_rng(0)
+    for n in (50, 1000, 8000, 20000):
+        hashes = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        keys, _ = parity_join.sketch_keys(Sets(hashes, np.array([0, len(hashes)])), 80)
+        assert 0 < len(keys) < 1.5 * n
