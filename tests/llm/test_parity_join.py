@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from routeforge.llm import components, parity_join, queries
+from routeforge.llm.similar_texts import Sets
 from tests.llm.conftest import EDGE
 
 
