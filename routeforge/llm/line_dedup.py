@@ -25,8 +25,8 @@ from routeforge.session import stage_table
 
 SHINGLE = 9
 PERCENT = 80
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 8 = 0.985, at 0.9 with 0.9998.
-BANDS, ROWS = 8, 4
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
+BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
 SLICE = 2_000_000
 _EMPTY = np.uint64(2**64 - 1)
