@@ -1,10 +1,10 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact verification, one line kept of each component.
 
 Lines are the parts of a text between line feeds; lines of white space only are left alone. Equal lines are one
-node. A line of four or more shingles gets a one-permutation MinHash signature: its shingle hashes fall into
+node. A line of one or more whole shingles gets a one-permutation MinHash signature: its shingle hashes fall into
 BANDS * ROWS bins and each bin keeps its least; an empty bin takes the value of the first filled bin in an order that depends on the bin alone.
 Lines that agree in all rows of a band are candidates, and count as similar if the exact Jaccard similarity of their
-shingle sets reaches the threshold. (Different sets of fewer than five shingles in all cannot.)
+shingle sets reaches the threshold. (A line shorter than a shingle is its own only one, so it has no similar line but its equals.)
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             names = np.array([xxhash.xxh64_intdigest(b, seed=42) for b in lines.cast(pa.binary()).to_pylist()], np.uint64)
             blank = pc.binary_length(pc.ascii_trim_whitespace(lines)).to_numpy(zero_copy_only=False) == 0
             sizes = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
-            long_ = np.flatnonzero((sizes >= SHINGLE + 3) & ~blank)
+            long_ = np.flatnonzero((sizes >= SHINGLE) & ~blank)
             hashes, owner = _shingles(lines.take(pa.array(long_)), SHINGLE)
             keys = band_keys(signatures(hashes, owner, len(long_)))
             # A line's keys go with the first text of the slice that has it.

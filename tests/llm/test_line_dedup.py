@@ -130,6 +130,16 @@ def test_planted_groups(spark, seed):
     assert [got[k] for k in range(60)] == dropped
 
 
+def test_short_lines_of_equal_sets(spark):
+    """Lines of 9 to 11 characters can have the same shingles as other lines: runs, and words said again and again."""
+    lines = ["-" * n for n in (8, 9, 10, 11, 40)] + ["ab" * 5, "ab" * 5 + "a", "ab" * 20, "x" + "=" * 9, "x" + "=" * 10, "abcdefghi", "abcdefghij"]
+    rows = list(enumerate(lines))
+    dropped, links = brute(rows)
+    assert len(links) == 10
+    got = {r.doc_id: r.dropped for r in line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == dropped
+
+
 def test_edges(spark, edge, nothing):
     got = line_dedup.dedup_lines(edge)
     assert got.columns == edge.columns
