@@ -32,15 +32,23 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 # A maximal run of 24 or more is found the same way with the least length in the pattern.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{32,}|[A-Za-z0-9_-]{32,})={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+)-----END \1-----")
+# Where an encoded key can start: with a SEQUENCE (M in base64), a short field length or the magic of OpenSSH's private keys. A line end
+# written out as \n ends in a letter.
+_ENCODED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr])|(?<=-----))(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)")
+#: Runs of the standard and the URL-safe alphabet. The first line of a key has 32 characters at least.
+_RUNS = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"))
+_LEAST_RUN = 32
+_LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\+r)?\\+n|\\+r)[\x20\t]*")
+#: Fields of an SSH public key by type; others have two or more.
+_SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 _ANY_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{2}){16,}(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
 
 
 def _unbase64(text: str) -> bytes | None:
-    body = re.sub(r"\s", "", text).rstrip("=")
+    body = re.sub(r"\s|\\+[nr]", "", text).rstrip("=")
     if len(body) % 4 == 1:
         return None
     try:
@@ -111,6 +119,30 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and bool(re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]))
 
 
+def _der_end(data: bytes) -> int | None:
+    """Where the value that ``data`` starts with ends, by its header; None without a whole header."""
+    n = data[1] & 0x7F if len(data) > 1 and data[1] & 0x80 else 0
+    if len(data) < 2 + n or n > 4 or data[1] == 0x80:
+        return None
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
+def _openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends: magic, three fields, the number of keys, a field for each and one for the private part."""
+    at = len(b"openssh-key-v1\x00")
+    for _ in range(3):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(min(keys, len(data)) + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     head, body = _unbase64(header), _unbase64(payload)
     if not head or not body:
@@ -134,6 +166,56 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def _encoded_key(text: str, start: int, run: re.Pattern) -> tuple[str, int, int] | None:
+    """Kind, end and lines of the key that starts at ``start`` in runs of one alphabet, over as many lines as its own lengths ask for.
+
+    Lines are taken one by one until the decoded bytes reach the length in their header; a key ends at the end of a run.
+    """
+    m = run.match(text, start)
+    if not m or m.end() - start < _LEAST_RUN:
+        return None
+    data, rest, lines, first = bytearray(), "", 0, None
+    at, fields, kind = 0, 0, b""
+    while m:
+        lines += 1
+        rest += m[0].replace("-", "+").replace("_", "/")
+        whole = len(rest) // 4 * 4
+        data += base64.b64decode(rest[:whole])
+        rest = rest[whole:]
+        tail = base64.b64decode(rest + "=" * (-len(rest) % 4)) if len(rest) != 1 else None
+        size = None if tail is None else len(data) + len(tail)
+        seen = bytes(data[:16])
+        ends = m.end()
+        padded = ends + (text.startswith("=", ends) and 1 + text.startswith("=", ends + 1))
+        if seen[0] == 0x30:
+            need = _der_end(seen)
+            if need is None or need > len(text) - start:
+                return None
+            if size is not None and size >= need:
+                return ("der_key", padded, lines) if size == need and is_der_key(bytes(data + tail)) else None
+        elif seen.startswith(b"openssh-key-v1\x00"):
+            first = first or ("ssh_key", padded, 1)
+            need = _openssh_end(bytes(data + (tail or b"")))
+            if need is not None and size is not None and size >= need:
+                return ("ssh_key", padded, lines) if size == need else first
+        else:
+            if not re.match(rb"\x00\x00\x00.(ssh|ecdsa|sk)-", seen, re.DOTALL):
+                return None
+            joined = data + (tail or b"")
+            while at + 4 <= len(joined) and (end := at + 4 + int.from_bytes(joined[at : at + 4], "big")) <= len(joined):
+                kind = kind or bytes(joined[at + 4 : end])
+                at, fields = end, fields + 1
+            if at == size and is_ssh_key(bytes(joined)):
+                if fields >= _SSH_FIELDS.get(kind, 3 if kind.startswith(b"ecdsa-") else 2):
+                    return "ssh_key", padded, lines
+                first = first or (("ssh_key", padded, 1) if lines == 1 else None)
+        if padded > ends:
+            break
+        broken = _LINE_END.match(text, ends)
+        m = run.match(text, broken.end()) if broken else None
+    return first
+
+
 def structural_spans(text: str) -> list[Span]:
     """Encoded candidates whose decoded bytes have the structure of a key or signed token."""
     spans: list[Span] = []
@@ -144,14 +226,17 @@ def structural_spans(text: str) -> list[Span]:
             data = _unbase64(m[2])
             if data and (is_der_key(data) or is_ssh_key(data)):
                 spans.append(("pem_key", m.start(), m.end()))
-    # DER starts with a SEQUENCE (M in base64, 30 in hex); an SSH blob starts with a short field length.
+    armoured = [(a, b) for kind, a, b in spans if kind == "pem_key"]
+    done = 0
     for m in _ENCODED.finditer(text):
-        if m[0][0] == "M" or m[0].startswith(("AAAA", "b3BlbnNzaC1rZXktdjE")):
-            data = _unbase64(m[0])
-            if data and is_der_key(data):
-                spans.append(("der_key", m.start(), m.end()))
-            elif data and is_ssh_key(data):
-                spans.append(("ssh_key", m.start(), m.end()))
+        if m.start() < done:
+            continue
+        found = next(filter(None, (_encoded_key(text, m.start(), run) for run in _RUNS)), None)
+        # The lines of an armoured key are no second find.
+        if found and not (found[2] > 1 and any(a <= m.start() < b for a, b in armoured)):
+            spans.append((found[0], m.start(), found[1]))
+            done = found[1]
+    # A DER SEQUENCE is 30 in hex.
     for m in _ANY_HEX.finditer(text):
         if m[0].startswith(("30", "0000", "6f70656e7373682d")):
             data = bytes.fromhex(m[0])

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -86,6 +87,39 @@ def test_base_matches_that_fail_still_consume():
     assert secrets.redact(text + " end", "assign:0:32,hex:8:32") == "[SECRET] end"
 
 
+def long_keys(rng):
+    """Random keys laid out like RSA-2048: PKCS #8, its public key, and an SSH blob."""
+    number = lambda n: der(2, bytes([rng.randrange(1, 128)]) + rng.randbytes(n - 1))
+    rsa = der(0x30, bytes.fromhex("06092a864886f70d0101010500"))
+    private = der(0x30, b"\x02\x01\x00" + b"".join(number(n) for n in (257, 3, 256, 129, 129, 128, 128, 128)))
+    pkcs8 = der(0x30, b"\x02\x01\x00" + rsa + der(4, private))
+    public = der(0x30, rsa + der(3, b"\x00" + der(0x30, number(257) + number(3))))
+    ssh = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-rsa", b"\x01\x00\x01", b"\x00" + rng.randbytes(256)))
+    return pkcs8, public, ssh
+
+
+def test_whole_keys_in_every_form():
+    rng = random.Random(3)
+    for _ in range(10):
+        pkcs8, public, ssh = long_keys(rng)
+        for key, kind in ((pkcs8, "der_key"), (public, "der_key"), (ssh, "ssh_key")):
+            plain, safe = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()
+            forms = [plain, safe, safe.rstrip("=")]
+            for width in (64, 70, 76):
+                for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    "):
+                    forms += [end.join(t[k : k + width] for k in range(0, len(t), width)) for t in (plain, safe)]
+            for form in forms:
+                assert secrets.structural_spans(f"é {form} after") == [(kind, 2, 2 + len(form))], form
+                assert secrets.structural_spans(f"é {form}\nafter it\n") == [(kind, 2, 2 + len(form))], form
+                assert secrets.structural_spans(f"é {form[:-8]} after") == [], form
+            for end in ("\n", "\\n"):
+                body = end.join(plain[k : k + 64] for k in range(0, len(plain), 64))
+                armour = f"-----BEGIN PUBLIC KEY-----{end}", f"{end}-----END PUBLIC KEY-----"
+                assert secrets.structural_spans(body.join(armour)) == [(kind, len(armour[0]), len(armour[0]) + len(body))]
+                pem = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----"
+                assert secrets.structural_spans(f'{{"key": "{pem}"}}') == [("pem_key", 9, 9 + len(pem))]
+
+
 def test_secret_edges(edge, nothing):
     got = secrets.find_secrets(edge).collect()
     assert sorted((r.doc_id for r in got), key=repr) == sorted((i for i, _ in EDGE), key=repr)
