@@ -24,6 +24,8 @@ ASIDE_WORDS = frozenset(
     "subscription signup login search form share sharing social related recommended breadcrumb breadcrumbs pagination "
     "pager comment comments commentlist reply replies disqus reader discussion toolbar copyright legal".split()
 )
+#: What a head can hold; anything else, words included, is the body's and ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -79,8 +81,17 @@ class Page(HTMLParser):
                 self.runs.append(None)
         del self._open[place:]
 
+    def _end_head(self, anywhere: bool) -> None:
+        """Close an open head, whose end tag may be left out: the innermost element, or one further out."""
+        for place in range(len(self._open) - 1, 0, -1) if anywhere else (len(self._open) - 1,):
+            if self.tags[self._open[place]] == "head":
+                self._pop_to(place)
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag not in INLINE
+        if tag not in HEAD_TAGS:
+            self._end_head(tag == "body")
         if block:
             self.runs.append(None)
             for place in range(len(self._open) - 1, 0, -1):  # a block ends an open paragraph around it
@@ -119,6 +130,8 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
+        if self._silent and not data.isspace():
+            self._end_head(False)
         if not self._silent:
             self.runs.append((self._open[-1], data))
 
@@ -160,7 +173,6 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
         p = parent[k]
         depth[k] = depth[p] + 1
         in_main[k] = in_main[p] or flags["is_main"][k]
-        in_aside[k] = in_aside[p] or flags["is_aside"][k] or flags["aside_words"][k] > 0
         in_link[k] = in_link[p] or link[k]
         place[k] = children[p]
         children[p] += 1
@@ -178,6 +190,18 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, n):
         before[k] = last_text[parent[k]]
         last_text[parent[k]] = total[k]
+    # A part that holds most of the page's text, with its article or main if there is one, is no aside, whatever its attributes say;
+    # and an article or main is not inside one because of words or a form around it.
+    mains = flags["is_main"].copy()
+    for k in range(n - 1, 0, -1):
+        mains[parent[k]] += mains[k]
+    whole = (2 * total > seen) & ((mains > 0) | (mains[0] == 0))
+    fixed = np.zeros(n, bool)  # inside an aside by its element
+    for k in range(1, n):
+        p = parent[k]
+        own_aside = (flags["is_aside"][k] or flags["aside_words"][k] > 0) and tag[k] not in ("html", "body", "main") and not whole[k]
+        fixed[k] = tag[k] != "main" and (fixed[p] or (own_aside and flags["is_aside"][k] and tag[k] != "form"))
+        in_aside[k] = own_aside or (fixed[k] if flags["is_main"][k] else in_aside[p])
     safe = np.maximum(total, 1)
     up = np.maximum(parent, 0)
     link_share = links / safe

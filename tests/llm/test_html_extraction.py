@@ -60,6 +60,39 @@ def test_pages_without_explicit_markup(spark):
         assert not any(b in text for b in BOILER)
 
 
+def test_main_texts_inside_misleading_markup(spark):
+    """A head without its end tag, and words or forms around the article, don't take it away."""
+    trees = html_extraction.learn_trees(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    page = variant(ARTICLE, "article", "")
+    wide = page.replace("<body>", "<body><form id='aspnet'>").replace("</body>", "</form></body>")
+    share = variant(f"<article>{ARTICLE}</article>", "div", " class='share related'")
+    htmls = [
+        page.replace("</head>", ""), page.replace("</head><body>", ""), page.replace("<body>", "<body class='has-sidebar ad'>"), wide, share,
+        page.replace("<article>", "<article class='with-sidebar'>"), page.replace("<html>", "<html class='cookie'>"),
+    ]
+    rows = [(k, "u", h) for k, h in enumerate(htmls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract(pages, trees).collect()}
+    assert [k for k in got if got[k] != TEXT] == []
+
+
+def test_asides_and_labels():
+    def labelled(html):
+        page = dom.Page(html)
+        x, _ = dom.features(page)
+        return dom.main_text(page, dom.explicit_labels(x) == 1)
+
+    page = variant(ARTICLE, "article", "")
+    for html in (page, page.replace("<body>", "<body class='has-sidebar'>"), page.replace("</head>", "")):
+        assert labelled(html) == TEXT
+    many = f"<div id='comments'>{'<p>A reader says so, and more.</p>' * 60}</div><aside><article>Card</article></aside>"
+    assert labelled(page.replace("<aside", many + "<aside")) == TEXT
+    everything = dom.Page("<head><title>t</title><p>a")
+    assert dom.main_text(everything, np.ones(len(everything.tags), bool)) == "a"
+    words = dom.Page("<head><style>p{}</style>a <b>b</b>")
+    assert dom.main_text(words, np.ones(len(words.tags), bool)) == "a b"
+
+
 def test_parser_mends_and_decodes():
     page = dom.Page("<p>a<b>b<p>c &lt;&eacute;&#x41; <br>d<ul><li>e<li>f</ul><script>if(a<b){}</script>g</x>h<!-- no -->i<td>j")
     everything = np.ones(len(page.tags), bool)
