@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +23,11 @@ _RUNTIME = {
     "spark.sql.sources.fileCompressionFactor": "10.0",
 }
 
+# Drops the shuffle files of a write when it has ended, in place of when the driver next collects garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: str | None = None
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("stage_scopes", default=())
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -60,21 +67,47 @@ def _stage_folder(spark: SparkSession) -> str:
     return f"{scratch_folder(spark)}/routeforge-{spark.sparkContext.applicationId}"
 
 
-def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts lineage in storage that outlives an executor, lets several consumers prune
     their own columns from one copy, and gives the planner true sizes, so that it
-    broadcasts a small side on evidence and shuffles a large one.
+    broadcasts a small side on evidence and shuffles a large one. The shuffles behind it are
+    freed with the write. Inside a ``stage_scope`` the table goes at its end; ``keep`` hands it to the scope around.
     """
     spark = df.sparkSession
     path = f"{_stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end. What is needed after it is staged with ``keep``."""
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_stage_tables(spark: SparkSession) -> None:
     """Drop what this application staged. For the end of an application: frames read from
     a stage table are of no use afterwards."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(spark, _stage_folder(spark))
