@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeforge.llm import bpe, contamination, decision_list, html_extraction, line_dedup, parity_join, secrets, sharding, token_counts, token_files
+from routeforge.llm import (
+    bpe,
+    contamination,
+    decision_list,
+    html_extraction,
+    line_dedup,
+    lsh_forest,
+    parity_join,
+    secrets,
+    sharding,
+    spelling,
+    token_counts,
+    token_files,
+    whitening,
+)
 from routeforge.llm.library_bpe import read_spec
 
 VOCABULARY = "word_bpe_49k.json"
@@ -82,6 +96,32 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.main_texts(_table(spark, folder, "pages"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    fitted = whitening.fit_whitening(rows)
+    n, shares, error = (fitted.n, fitted.explained.tolist(), fitted.identity_error) if fitted else (0, [], 0.0)
+    each = whitening.whiten(rows, fitted).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*[F.lit(v) for v in shares]).cast("array<double>")
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    found = lsh_forest.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -93,6 +133,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
+    "op11_whitening": op11_whitening,
+    "op12_lsh_forest": op12_lsh_forest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {}

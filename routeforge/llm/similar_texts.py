@@ -118,13 +118,25 @@ def parity_sketches(texts: DataFrame, sets_of: SetsOf) -> DataFrame:
     return texts.select("id", "text").mapInArrow(sketch, "id long, n long, " + ", ".join(f"{w} long" for w in words))
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
+def may_link(x: str, y: str, percent: int) -> Column:
     """What sizes and sketches (columns with prefixes x and y) of linked sets always fulfil."""
     low, high = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
     differ = sum((F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
     return (100 * low >= percent * high) & ((100 + percent) * differ <= (100 - percent) * (low + high))
 
 
+def with_sketch(table: DataFrame, sketches: DataFrame, name: str, prefix: str) -> DataFrame:
+    """``table`` with the sketch of the id in column ``name``, under names with ``prefix``."""
+    fresh = [F.col("id").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in sketches.columns if c != "id"]]
+    return table.join(sketches.select(*fresh), name)
+
+
+def possible_links(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out."""
+    both = with_sketch(with_sketch(pairs, sketches, "a", "x"), sketches, "b", "y")
+    return both.where(may_link("x", "y", percent)).select("a", "b")
+
+
 def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
     """(id, component) over the pairs of ``members`` (key, id; rows may repeat) that share a key and whose sets have a
     Jaccard similarity of ``percent`` or more. ``fetch`` gives the texts (id, text) of a table of ids, and ``sets_of`` their sets.
@@ -145,10 +157,6 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     texts = stage_table(fetch(stage_table(live.select("id").distinct(), "candidate-ids")), "candidate-texts")
     sketches = stage_table(parity_sketches(texts, sets_of), "candidate-sketches")
 
-    def sketched(table: DataFrame, name: str, prefix: str) -> DataFrame:
-        fresh = [F.col("id").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in sketches.columns if c != "id"]]
-        return table.join(sketches.select(*fresh), name)
-
     def links_of(pairs: DataFrame) -> DataFrame:
         possible = stage_table(pairs, "possible-pairs")
         return stage_table(
@@ -175,7 +183,7 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = stage_table(pairs, "pairs")
         tested = pairs.select("lo", "hi") if tested is None else tested.union(pairs.select("lo", "hi"))
-        new = links_of(sketched(sketched(pairs, "a", "x"), "b", "y").where(_may_link("x", "y", percent)).select("a", "b"))
+        new = links_of(possible_links(pairs, sketches, percent))
         n_new = new.count()
         if links is None or n_new:
             links = new if links is None else links.union(new)
@@ -191,9 +199,9 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
         if STAR_YIELD * n_new <= pairs.count():
             break
 
-    left = sketched(placed.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("xc")), "x", "x")
-    right = sketched(placed.select("key", F.col("id").alias("y"), F.col("component").alias("yc")), "y", "y")
-    condition = (left["key"] == right["key"]) & (F.col("xc") != F.col("yc")) & _may_link("x", "y", percent)
+    left = with_sketch(placed.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("xc")), sketches, "x", "x")
+    right = with_sketch(placed.select("key", F.col("id").alias("y"), F.col("component").alias("yc")), sketches, "y", "y")
+    condition = (left["key"] == right["key"]) & (F.col("xc") != F.col("yc")) & may_link("x", "y", percent)
     rest = left.join(right, condition).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
     rest = rest.join(tested, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     new = links_of(rest)
