@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 
 # Elements by role, and words in attributes that tell what a part of a page is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button".split())
+SILENT = frozenset(
+    "script style noscript noframes noembed template head title iframe object svg canvas audio video select textarea button annotation annotation-xml".split()
+)
+#: Silent elements that, if their end tag is missing, end at the first block inside.
+LEFT_OPEN = frozenset("svg button select object canvas audio video noscript".split())
+BLOCKS = frozenset(
+    "address article blockquote center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table ul".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr img input".split()
+    "strike strong sub sup time tt u var wbr img input "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded "
+    "mphantom menclose mfenced mtable mtr mtd mmultiscripts mprescripts none".split()
 )
 SECTIONS = frozenset("article main section div body td table ul ol".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -24,10 +35,13 @@ ASIDE_WORDS = frozenset(
     "subscription signup login search form share sharing social related recommended breadcrumb breadcrumbs pagination "
     "pager comment comments commentlist reply replies disqus reader discussion toolbar copyright legal".split()
 )
+#: Elements whose content is text up to their end tag, whatever it looks like; in the last two, with references.
+RAW = frozenset("script style iframe xmp noembed noframes textarea title".split())
 #: What a head can hold; anything else, words included, is the body's and ends it.
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond which no sibling is looked for.
+LISTS = ("ul", "ol", "dl", "table", "select")
 
 FEATURES = (
     "depth", "text", "link_share", "elements_per_text", "children", "place_among_siblings", "siblings", "like_siblings",
@@ -57,83 +71,191 @@ def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
     return out
 
 
-class Page(HTMLParser):
+_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />]*+")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:>|([^\s/>=][^\s/>=]*+|=[^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?)""")
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
+
+
+def _text(data: str) -> str:
+    """Character references decoded; numbers of any length."""
+    if "&" not in data:
+        return data
+
+    def short(found: re.Match) -> str:
+        digits = (found[1] or found[2]).lstrip("0") or "0"
+        return ("&#x" if found[2] else "&#") + (digits if len(digits) < 8 else ("110000" if found[2] else "1114112")) + ";"
+
+    return unescape(_LONG_REFERENCE.sub(short, data))
+
+
+Token = tuple[str, str, list[tuple[str, str | None]]]
+
+
+def tokens(html: str) -> Iterator[Token]:
+    """("text", data, []), ("start", tag, attributes) and ("end", tag, []) of any text, in one pass.
+
+    Comments, declarations and processing instructions are left out; a comment without an end goes on to the end of the page, as does a tag without
+    one. A "<" that starts nothing is text.
+    """
+    at, size = 0, len(html)
+    low = None
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            start = size
+        while start < size and not (html[start + 1 : start + 2].isascii() and (html[start + 1 : start + 2].isalpha() or html[start + 1 : start + 2] in ("/", "!", "?")) and start + 1 < size):
+            start = html.find("<", start + 1)
+            if start < 0:
+                start = size
+        if start > at:
+            yield "text", _text(html[at:start]), []
+        if start >= size:
+            return
+        kind = html[start + 1]
+        name = _NAME.match(html, start + 1 + (kind == "/"))
+        if kind in "!?" or name is None:
+            if html.startswith("<!--", start):
+                # The shortest comments are <!--> and <!--->.
+                end = html.find("-->", start + 2)
+                at = size if end < 0 else end + 3
+            else:
+                end = html.find(">", start)
+                if end < 0 and kind == "/":
+                    yield "text", _text(html[start:]), []
+                at = size if end < 0 else end + 1
+            continue
+        tag, at = name[0].lower(), name.end()
+        if kind == "/":
+            end = html.find(">", at)
+            at = size if end < 0 else end + 1
+            yield "end", tag, []
+            continue
+        attributes: list[tuple[str, str | None]] = []
+        closed = False
+        while at < size:
+            found = _ATTRIBUTE.match(html, at)
+            if found is None:
+                break
+            at = found.end()
+            if found[1] is None:
+                closed = True
+                break
+            value = found[2]
+            if value is not None and value[:1] in ("\"", "'") and value[-1:] == value[:1] and len(value) > 1:
+                value = value[1:-1]
+            attributes.append((found[1].lower(), value))
+        if not closed:
+            return
+        yield "start", tag, attributes
+        if tag in RAW:
+            low = html.lower() if low is None or len(low) != size else low
+            if len(low) != size:  # a letter whose small form is longer
+                low = re.sub("[A-Z]+", lambda m: m[0].lower(), html)
+            end = low.find(f"</{tag}", at)
+            while 0 <= end and low[end + 2 + len(tag) : end + 3 + len(tag)] not in ("", ">", "/", " ", "\t", "\n", "\r", "\f"):
+                end = low.find(f"</{tag}", end + 2)
+            end = size if end < 0 else end
+            if end > at:
+                yield "text", _text(html[at:end]) if tag in ("textarea", "title") else html[at:end], []
+            at = end
+
+
+class Page:
     """Elements in page order (parents first), and the page's text as runs and block breaks.
 
     ``parents``, ``tags`` and ``words`` (of attributes) are by element; ``runs`` has (element, text), or None at a block's edge.
-    Texts of scripts, styles, forms' controls and the head are no runs.
+    Texts of scripts, styles, forms' controls, graphics and the head are no runs; where such an element misses its end tag, it ends at
+    the first block inside. Any text has a tree, made in time linear in its length; end tags without a start break a block at most.
     """
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.parents, self.tags, self.words = [-1], ["#page"], [set()]
         self.runs: list[tuple[int, str] | None] = []
         self._open = [0]
+        self._places: dict[str, list[int]] = {}  # of open elements, by tag
+        self._blocks: list[int] = []  # places of open elements that aren't inline
         self._silent = 0
-        self.feed(html)
-        self.close()
+        self._held: list[tuple[int, str] | None] | None = None  # runs since the first block in a silent element that may be left open
+        for kind, value, attributes in tokens(html):
+            if kind == "text":
+                self._data(value)
+            elif kind == "start":
+                self._start(value, attributes)
+            else:
+                self._end(value)
+        self._pop_to(1)
 
-    def _pop_to(self, place: int) -> None:
-        for node in self._open[place:]:
-            if self.tags[node] in SILENT:
+    def _break(self) -> None:
+        if not self._silent:
+            self.runs.append(None)
+        elif self._held is not None:
+            self._held.append(None)
+
+    def _pop_to(self, place: int, ended: bool = False) -> None:
+        """Close all open elements from ``place`` on; the one there by its own end tag if ``ended``, the others for want of one."""
+        for at in range(len(self._open) - 1, place - 1, -1):
+            tag = self.tags[self._open[at]]
+            self._places[tag].pop()
+            if tag in SILENT:
                 self._silent -= 1
-            if self.tags[node] not in INLINE:
-                self.runs.append(None)
+                if not self._silent:
+                    if self._held is not None and not (ended and at == place):
+                        self.runs.extend(self._held)
+                    self._held = None
+            if tag not in INLINE:
+                self._blocks.pop()
+                self._break()
         del self._open[place:]
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+
     def _end_head(self, anywhere: bool) -> None:
         """Close an open head, whose end tag may be left out: the innermost element, or one further out."""
-        for place in range(len(self._open) - 1, 0, -1) if anywhere else (len(self._open) - 1,):
-            if self.tags[self._open[place]] == "head":
-                self._pop_to(place)
-                return
+        place = self._last(("head",))
+        if place and (anywhere or place == len(self._open) - 1):
+            self._pop_to(place)
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag not in INLINE
+    def _start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in HEAD_TAGS:
             self._end_head(tag == "body")
-        if block:
-            self.runs.append(None)
-            for place in range(len(self._open) - 1, 0, -1):  # a block ends an open paragraph around it
-                name = self.tags[self._open[place]]
-                if name in CLOSED_BY_BLOCK and tag != "br":
-                    self._pop_to(place)
-                    break
-                if name not in INLINE:
-                    break
-        ends = SIBLINGS.get(tag)
-        if ends:
-            for place in range(len(self._open) - 1, 0, -1):
-                name = self.tags[self._open[place]]
-                if name in ends:
-                    self._pop_to(place)
-                    break
-                if name in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag not in INLINE:
+            if tag in BLOCKS and self._silent == 1 and self._held is None and self._last(LEFT_OPEN):
+                self._held = []
+            self._break()
+            if tag != "br" and self._blocks and self.tags[self._open[self._blocks[-1]]] == "p":
+                self._pop_to(self._blocks[-1])  # a block ends an open paragraph around it
+        if tag in SIBLINGS:
+            place = self._last(SIBLINGS[tag])
+            if place > self._last(LISTS):
+                self._pop_to(place)
         if tag in VOID:
             return
         self.parents.append(self._open[-1])
         self.tags.append(tag)
         self.words.append(_words(attrs) if attrs else set())
+        place = len(self._open)
         self._open.append(len(self.tags) - 1)
-        self._silent += tag in SILENT
-
-    def handle_endtag(self, tag: str) -> None:
-        for place in range(len(self._open) - 1, 0, -1):
-            if self.tags[self._open[place]] == tag:
-                self._pop_to(place)
-                return
+        self._places.setdefault(tag, []).append(place)
         if tag not in INLINE:
-            self.runs.append(None)
+            self._blocks.append(place)
+        self._silent += tag in SILENT
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+    def _end(self, tag: str) -> None:
+        place = self._last((tag,))
+        if place:
+            self._pop_to(place, ended=True)
+        elif tag not in INLINE:
+            self._break()
 
-    def handle_data(self, data: str) -> None:
+    def _data(self, data: str) -> None:
         if self._silent and not data.isspace():
             self._end_head(False)
         if not self._silent:
             self.runs.append((self._open[-1], data))
+        elif self._silent == 1 and self._held is not None:
+            self._held.append((self._open[-1], data))
 
 
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +338,26 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([columns[f] for f in FEATURES], axis=1), own
 
 
+_PARAGRAPH = re.compile(r"<p>((?:[^<]|<(?!/?p>))*+)</p>")
+
+
+def with_asides(html: str, number: int, most: int = 3) -> str:
+    """The page with parts marked as asides planted after some of its paragraphs; each repeats the text of another paragraph, so that
+    nothing but its markup and place tells. ``number`` chooses paragraphs and kinds: consecutive numbers take all kinds in turn.
+    """
+    paragraphs = list(_PARAGRAPH.finditer(html))
+    kinds = [(t, None) for t in sorted(ASIDE_TAGS - {"form"})] + [("div", w) for w in sorted(ASIDE_WORDS)]
+    out, done = [], 0
+    places = {paragraphs[(number * 7 + k * 3) % len(paragraphs)].end(): k for k in range(most)} if paragraphs else {}
+    for end, k in sorted(places.items()):
+        tag, word = kinds[(number * most + k) % len(kinds)]
+        text = paragraphs[(number * 5 + k) % len(paragraphs)][1]
+        mark = f' class="{word}"' if word else ""
+        out.append(f"{html[done:end]}<{tag}{mark}><p>{text}</p></{tag}>")
+        done = end
+    return "".join(out) + html[done:]
+
+
 def explicit_labels(x: np.ndarray) -> np.ndarray:
     """1 for elements that explicit markup puts into the main text, 0 for all others."""
     return ((x[:, FEATURES.index("in_main")] > 0) & (x[:, FEATURES.index("in_aside")] == 0)).astype(int)

@@ -2,7 +2,8 @@
 
 The trees are learned from pages that mark their main part explicitly (article or main, without the menus, notices and the like inside it). Each labelled
 element is learned four times, with the explicit markup, the kind of element, both or nothing hidden, so that pages without it are judged by
-density, place and siblings. Spark trains the trees on a bounded sample; every page is then parsed, scored and decoded
+density, place and siblings; and every page is learned again with asides of all known kinds planted between its paragraphs, as few pages have
+them there. Spark trains the trees on a bounded sample of pages; every page is then parsed, scored and decoded
 in one pass without a shuffle.
 """
 
@@ -19,12 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import slices
-from routeforge.llm.dom import EXPLICIT, FEATURES, KINDS, Page, decode, explicit_labels, features, main_text
+from routeforge.llm.dom import EXPLICIT, FEATURES, KINDS, Page, decode, explicit_labels, features, main_text, with_asides
 from routeforge.session import stage_table
 
-#: Pages and elements that the trees are learned from at most: those with the least hashes of id and address.
+#: Different pages that the trees are learned from at most: those with the least hashes. All of their elements count.
 TRAINING_PAGES = 1_000
-TRAINING_ELEMENTS = 100_000
 ROUNDS, DEPTH, STEP = 12, 4, 0.3
 #: Log-odds beyond this count as this.
 CLIP = 4.0
@@ -78,18 +78,22 @@ class Trees:
         return 2 * out
 
 
-def training_elements(pages: DataFrame, most_pages: int = TRAINING_PAGES, most: int = TRAINING_ELEMENTS) -> DataFrame:
-    """FEATURES and label of the elements with text of sampled pages, as they are and with explicit markup, kinds of element and both hidden."""
-    hashed = pages.select(F.xxhash64("page_id", "url").alias("h"))
-    cut = hashed.orderBy("h").limit(most_pages).agg(F.max("h")).first()[0]
-    sample = pages.where(F.xxhash64("page_id", "url") <= F.lit(cut)).limit(most_pages)
+def training_elements(pages: DataFrame, most_pages: int = TRAINING_PAGES) -> DataFrame:
+    """FEATURES and label of the elements with text of sampled pages, as they are and with planted asides, and of both with explicit markup,
+    kinds of element and both hidden. The sample depends on the pages alone, not on how they are stored; equal pages count once."""
+    hashed = pages.select(F.xxhash64("page_id", "url", "html").alias("hash"), "html")
+    least = hashed.select("hash").distinct().orderBy("hash").limit(most_pages)
+    cut = least.agg(F.max("hash")).first()[0]
+    sample = hashed.where(F.col("hash") <= F.lit(cut)).dropDuplicates(["hash"])
     hidden = [[FEATURES.index(f) for f in group] for group in (EXPLICIT, KINDS, (*EXPLICIT, *KINDS))]
     names = [*FEATURES, "label"]
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, "html", SLICE):
-            for html in table.column("html").to_pylist():
-                x, _ = features(Page(html or ""))
+            numbers = [h % 1_000_003 for h in table.column("hash").to_pylist()]
+            htmls = [h or "" for h in table.column("html").to_pylist()]
+            for html in [v for h, n in zip(htmls, numbers, strict=True) for v in (h, with_asides(h, n))]:
+                x, _ = features(Page(html))
                 y = explicit_labels(x)
                 if not y.any():
                     continue
@@ -103,7 +107,7 @@ def training_elements(pages: DataFrame, most_pages: int = TRAINING_PAGES, most:
                 arrays = [pa.array(seen[:, k]) for k in range(len(FEATURES))]
                 yield pa.record_batch([*arrays, pa.array(np.tile(y, len(views)).astype(float))], names)
 
-    return sample.select("html").mapInArrow(elements, ", ".join(f"{n} double" for n in names)).limit(most)
+    return sample.mapInArrow(elements, ", ".join(f"{n} double" for n in names))
 
 
 def learn_trees(pages: DataFrame, most_pages: int = TRAINING_PAGES) -> Trees | None:
@@ -121,8 +125,7 @@ def _scores(trees: Trees | None, x: np.ndarray, own: np.ndarray) -> np.ndarray:
     if trees is None:
         odds = np.where(x[:, FEATURES.index("in_aside")] > 0, -CLIP, CLIP)
     else:
-        # Marked asides of kinds that the sample lacks start with the odds against them.
-        odds = np.clip(trees.log_odds(x) - 2 * CLIP * (x[:, FEATURES.index("in_aside")] > 0), -CLIP, CLIP)
+        odds = np.clip(trees.log_odds(x), -CLIP, CLIP)
     return odds * (0.1 + np.log1p(own))
 
 

@@ -1,7 +1,10 @@
 """Main texts against an independent reading of the pages' own markup, and on pages without it."""
 
 import html
+import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 
@@ -138,3 +141,87 @@ def test_edges(spark):
     got = html_extraction.main_texts(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 11), (1, 0), (1, 0), (2, 5999), (2, 5999), (3, 1)]
     assert html_extraction.main_texts(pages.limit(0)).count() == 0
+
+
+def test_pages_stripped_of_their_article(spark):
+    """The test tables' pages with their article turned into a plain element, in all layouts of the end of head and body."""
+    source = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    trees = html_extraction.learn_trees(source)
+    pages = {r.page_id: r.html for r in source.collect()}
+    plain = [(k, "u", h.replace("<article>", "<div>").replace("</article>", "</div>")) for k, h in pages.items()]
+    frame = spark.createDataFrame(plain, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract(frame, trees).collect()}
+    words, kept, extra = 0, 0, 0
+    for k, h in pages.items():
+        expected, found = brute(h).split(), got[k].split()
+        words += len(expected)
+        common = sum((Counter(expected) & Counter(found)).values())
+        kept += common
+        extra += len(found) - common
+    assert kept > 0.97 * words and extra < 0.03 * words, (kept / words, extra / words)
+
+
+def test_no_page_ends_the_job(spark):
+    malformed = [
+        "a<![endif-->b", "a<![foo[..]]>b", "a<![ >b", "a<![CDATA[x]]>b", "<!b", "<![", "<!--", "</", "<a <b <c", "<p a='x", "&#" + "9" * 5000 + ";x",
+        "<script>a", "<title>a", "\x00<p>İ</p>", "<div>" * 20000 + "deep",
+    ]
+    rows = [(k, "u", h) for k, h in enumerate(malformed)]
+    got = html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(malformed)))
+    texts = {r.page_id: r.text for r in got}
+    assert [texts[k] for k in (0, 1, 2, 3)] == ["ab"] * 4 and texts[10] == "\ufffdx" and texts[14] == "deep"
+    rng = random.Random(5)
+    parts = ["<", "<!", "<![", "]]>", "-->", "<!--", "<p>", "</p>", "<b>", "<svg>", "</svg>", "<button>", "text ", "&amp", "&#x", "<script>", "</script>", "<a href='", '"', ">", "/>", "<?", "<li>", "</"]
+    for _ in range(3000):
+        page = dom.Page("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))))
+        dom.features(page)
+
+
+def test_texts_in_open_elements_and_formulas():
+    def text(html):
+        page = dom.Page(html)
+        return dom.main_text(page, np.ones(len(page.tags), bool))
+
+    assert text("<p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> ok") == "E = mc2 ok"
+    assert text("<math><semantics><mi>x</mi><annotation>\\\\x</annotation></semantics></math>") == "x"
+    assert text("<div><p>a<svg><path><p>b</p>c</div>d") == "a b c d"
+    assert text("<div><button>x<p>b</p></div>d") == "b d"
+    assert text("<div><button>x<p>b</p></button>d</div>") == "d"
+    assert text("<svg><text>no</text></svg>yes") == "yes"
+    assert text("<textarea><p>no</textarea>yes<!-- no --!> no -->.") == "yes."
+
+
+def test_a_megabyte_of_anything_takes_seconds():
+    pages = [
+        "<b>" * 80_000 + "<p>x</p>" * 80_000, "<div>" * 30_000 + "</span>" * 100_000, "<ul>" + "<div>" * 30_000 + "<li>a</li>" * 50_000, "<!--" * 250_000,
+        "<![x" * 250_000, "<" * 1_000_000, "&" * 1_000_000, "<a " + "x='" * 300_000, '<a x="' * 150_000, "</" * 400_000, "<script></" * 100_000,
+        "<table><tr><td>" * 60_000, "<svg><p>x" * 80_000, "&#" + "0" * 1_000_000 + "65;",
+    ]
+    for html in pages:
+        started = time.process_time()
+        page = dom.Page(html)
+        x, _ = dom.features(page)
+        dom.main_text(page, dom.explicit_labels(x) == 1)
+        assert time.process_time() - started < 15, html[:40]
+
+
+def test_sample_depends_on_pages_alone(spark):
+    source = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    twice = source.repartition(9, "url").unionByName(source)
+    one = html_extraction.training_elements(source, 10)
+    other = html_extraction.training_elements(twice, 10)
+    assert one.count() > 100 and one.exceptAll(other).count() == 0 and other.exceptAll(one).count() == 0
+
+
+def test_planted_asides_are_labelled_out():
+    page = variant(ARTICLE, "article", "")
+    seen = set()
+    for number in range(60):
+        more = dom.with_asides(page, number)
+        tree = dom.Page(more)
+        x, _ = dom.features(tree)
+        assert len(more) > len(page) and dom.main_text(tree, dom.explicit_labels(x) == 1) == TEXT
+        seen |= {(t, *sorted(w)) for t, w in zip(tree.tags, tree.words, strict=True)}
+    assert {("div", "advert"), ("nav",), ("div", "newsletter")} <= seen
+    assert dom.with_asides("<article>no paragraph</article>", 3) == "<article>no paragraph</article>"
