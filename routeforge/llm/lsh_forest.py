@@ -5,9 +5,9 @@ two documents share a prefix of depth d in it with probability J ** d. Per tree
 their strings across the cluster, and one scan gives each its longest common prefix with its neighbours.
 
 1. Neighbours that share a prefix of the level's depth or more are candidates: at most one pair per set and tree.
-2. A region is what shares a prefix of that depth. Where all of its sets are in one component by now, it is settled. A region of few sets
-   is settled by comparing those of different components.
-3. A crowded region goes deeper: its sets get a forest of their own with a greater depth, in which what isn't similar parts sooner, and with
+2. A region is what shares a prefix of that depth. Where all of its sets are in one component by now, it is settled. A region with few sets outside its
+   largest component is settled by comparing these with those of other components.
+3. A crowded region, with more of them, goes deeper: its sets get a forest of their own with a greater depth, in which what isn't similar parts sooner, and with
    as many more trees as that depth needs to find a pair at the threshold just as surely. Where the last level still finds
    a crowd, all its sets of different components are compared.
 
@@ -37,8 +37,8 @@ PERCENT = 85
 DEPTHS = (4, 8, 12)
 MORE = 4
 MISS = 2e-4
-#: Sets in a region up to which those of different components are compared at once.
-CROWD = 32
+#: Sets of a region outside its largest component up to which they are compared at once: so many sketches at most are held against one.
+CROWD = 1024
 SLICE = 2_000_000
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -216,11 +216,14 @@ def _classes(strings_: DataFrame, fetch, percent: int, width: int) -> DataFrame:
             return stage_table(confirm(send_pairs(possible, texts), sets_of, linked), "links")
 
         def placed_in(regions: DataFrame) -> DataFrame:
-            """The regions that hold several components, with their sets' components and crowd."""
-            known = regions if found is None else regions.join(found, "id", "left")
-            known = known.withColumn("component", F.coalesce("component", "id") if found is not None else F.col("id"))
-            held = known.groupBy("region").agg(F.count("*").alias("crowd"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            return known.join(held.where("lo <> hi").select("region", "crowd"), "region")
+            """The regions that hold several components: their sets with component, largest component (main) and how many are outside it."""
+            known = regions.withColumn("component", F.col("id")) if found is None else regions.join(found, "id", "left")
+            known = known.withColumn("component", F.coalesce("component", "id"))
+            parts = known.groupBy("region", "component").agg(F.count("*").alias("held"))
+            mains = parts.groupBy("region").agg(
+                F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("outside")
+            )
+            return known.join(mains.where("outside > 0"), "region")
 
         def joined(links: DataFrame | None, new: DataFrame) -> DataFrame:
             return new if links is None else links.unionByName(new)
@@ -232,13 +235,14 @@ def _classes(strings_: DataFrame, fetch, percent: int, width: int) -> DataFrame:
         found = stage_table(components(links), "components")
 
         open_ = stage_table(placed_in(regions), "open-regions")
-        few = open_ if level + 1 == len(DEPTHS) else open_.where(F.col("crowd") <= CROWD)
+        few = open_ if level + 1 == len(DEPTHS) else open_.where(F.col("outside") <= CROWD)
         new = _across(few, sketches, percent).join(tested, ["a", "b"], "left_anti")
         links = joined(links, confirmed(new))
         found = stage_table(components(links), "components")
         if level + 1 == len(DEPTHS):
             break
-        crowded = stage_table(placed_in(open_.where(F.col("crowd") > CROWD).select("region", "id")).select("id").distinct(), "crowded")
+        crowded = placed_in(open_.where(F.col("outside") > CROWD).select("region", "id"))
+        crowded = stage_table(crowded.select("id").distinct(), "crowded")
         if crowded.isEmpty():
             break
         strings_ = stage_table(_later_level(texts.join(crowded, "id"), level + 1, percent, width), "forest-strings")
@@ -246,11 +250,9 @@ def _classes(strings_: DataFrame, fetch, percent: int, width: int) -> DataFrame:
 
 
 def _across(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a region's sets of different components that their sizes and sketches don't rule out, from (region, id,
-    component). A pair has at least one member outside the region's largest component."""
-    sizes = placed.groupBy("region", "component").agg(F.count("*").alias("held"))
-    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
-    outside = placed.join(main, "region").where("component <> main").select("region", F.col("id").alias("x"), F.col("component").alias("xc"))
+    """Pairs (a, b) of a region's sets of different components that their sizes and sketches don't rule out, from (region, id, component,
+    main). A pair has at least one member outside the region's largest component."""
+    outside = placed.where("component <> main").select("region", F.col("id").alias("x"), F.col("component").alias("xc"))
     anyone = placed.select("region", F.col("id").alias("y"), F.col("component").alias("yc"))
     left, right = with_sketch(outside, sketches, "x", "x"), with_sketch(anyone, sketches, "y", "y")
     met = left.join(right, (left["region"] == right["region"]) & (F.col("xc") != F.col("yc")) & may_link("x", "y", percent))
