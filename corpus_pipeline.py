@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through quality rules, line dedup, near duplicates, decontamination and encoding.
 
-Every stage takes (spark, docs, sf_dir) and returns what its successor reads; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns what its successor reads; all but the last return the columns of documents, whatever
+their names.
 run() writes each stage's rows to the shared folder and reads them again, so a lost executor costs a part of one stage.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from routeforge.llm import bpe, contamination, decision_list, line_dedup, parity_join
 from routeforge.llm.library_bpe import read_spec
+from routeforge.llm.rows import packed, unpacked
 from routeforge.session import stage_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,8 +22,8 @@ VOCABULARY = "word_bpe_49k.json"
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = decision_list.judge_quality(docs, labels, keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    judged = decision_list.judge_quality(packed(docs), labels, keep=("doc_id", "text", "rest"))
+    return unpacked(judged.where("kept"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +39,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination.find_contamination(docs, benchmark, keep=tuple(docs.columns))
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    found = contamination.find_contamination(packed(docs), benchmark, keep=("doc_id", "text", "rest"))
+    return unpacked(found.where(F.size("hit_spans") == 0), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of decoded texts, beside the columns that documents have besides the text."""
+    """Token counts and digests of ids and of decoded texts, beside the columns that documents have besides the text; a column of such a name gives
+    way to the new one."""
     spec = read_spec(public_tokenizers.path(VOCABULARY))
-    keep = tuple(c for c in docs.columns if c != "text")
-    return bpe.encode_and_decode(docs, spec, bpe.ship_lexicon(docs, spec), keep)
+    encoded = bpe.encode_and_decode(packed(docs), spec, bpe.ship_lexicon(docs, spec), keep=("doc_id", "rest"))
+    kept = [c for c in docs.columns if c.lower() not in ("text", *bpe.RESULTS)]
+    return encoded.select(*[F.col(c) if c == "doc_id" else F.col("rest").getField(c).alias(c) for c in kept], *bpe.RESULTS)
 
 
 STAGES = [

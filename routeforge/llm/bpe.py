@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from routeforge.llm.arrow_text import slices, spread, texts_of, words_of
 from routeforge.llm.library_bpe import byte_letters
 from routeforge.llm.lexicon import Lexicon, compile_lexicon
-from routeforge.session import scratch_folder
+from routeforge.session import scratch_folder, stage_table
 
 #: Words in the lexicon at most, the most frequent of the corpus; the rest is merged.
 LEXICON_WORDS = 65_536
@@ -237,6 +237,9 @@ _vocabularies: dict[int, Vocabulary] = {}
 _lexicons: dict[str, Lexicon] = {}
 
 
+RESULTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
 def _vocabulary(spec: str) -> Vocabulary:
     key = hash(spec)
     if key not in _vocabularies:
@@ -269,7 +272,17 @@ def frequent_words(docs: DataFrame, spec: str, most: int = LEXICON_WORDS) -> Dat
             )
 
     counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1").orderBy(F.col("n").desc(), "word").limit(most)
+    counted = stage_table(counted.where("n > 1"), "word-counts")
+    # Word counts by sixteenths of a power of two tell how frequent the words asked for are, so that few others are ordered.
+    power = F.floor(F.log2("n") * 16)
+    held = counted.groupBy(power.alias("power")).agg(F.count("*").alias("words")).orderBy(F.desc("power")).collect()
+    total, least = 0, None
+    for place, words in held:
+        total, least = total + words, place
+        if total >= most:
+            break
+    frequent = counted if least is None else counted.where(power >= least)
+    return frequent.orderBy(F.col("n").desc(), "word").limit(most)
 
 
 def ship_lexicon(docs: DataFrame, spec: str, most: int = LEXICON_WORDS) -> str:
@@ -303,7 +316,7 @@ def encode_and_decode(docs: DataFrame, spec: str, lexicon: str | None, keep: tup
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     schema = docs.select(*keep).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")):
+    for name, kind in RESULTS.items():
         schema = schema.add(name, kind)
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")

@@ -18,6 +18,8 @@ from routeforge.session import stage_table
 
 #: Labelled rows that the list is learned from at most: those with the least hashes of their id.
 LABELLED_ROWS = 20_000
+#: Bits of a hash by which the labelled rows are counted to find the least: 4,096 counts.
+HASH_BITS = 12
 #: A rule stays if at least this share of what it covers, in the rows it was grown on and pruned on alike, is bad.
 PRECISION = 0.9
 MIN_WORDS = 10
@@ -92,33 +94,38 @@ def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
     return (2 * p - int(hit.sum())) / max(1, int(hit.sum()))
 
 
-def learn(x: np.ndarray, bad: np.ndarray, fold: np.ndarray, precision: float = PRECISION, most: int = 32) -> list[Rule]:
-    """Rules for bad rows. ``fold`` is True for the rows that prune. No bad rows, or no rows: no rules."""
+def learn(x: np.ndarray, bad: np.ndarray, fold: np.ndarray, precision: float = PRECISION) -> list[Rule]:
+    """Rules for bad rows. ``fold`` is True for the rows that prune. No bad rows, or no rows: no rules.
+
+    Rules are sought until every bad row to grow on is covered, or was covered by a rule that is not precise enough: such a rule is left
+    out, and the bad rows it covers are no longer asked for. Every round settles at least one of them.
+    """
     rules: list[Rule] = []
-    while len(rules) < most:
-        grow_x, grow_bad = x[~fold], bad[~fold]
-        if not grow_bad.any():
-            break
+    asked = bad & ~fold
+    while asked.any():
+        growing = ~fold & (asked | ~bad)
+        grow_x, grow_bad = x[growing], asked[growing]
         rule: Rule = ()
         inside = np.ones(len(grow_x), bool)
-        while len(rule) < 6 and not grow_bad[inside].all():
+        while not grow_bad[inside].all():
             _, condition = _best_condition(grow_x[inside], grow_bad[inside])
             if condition is None:
                 break
             rule += (condition,)
             inside &= condition.covers(grow_x)
         if not rule:
-            break
+            break  # nothing tells the bad rows that are left from the good ones
         prune_x, prune_bad = x[fold], bad[fold]
         if covered(rule, prune_x).any():
             # The longest prefix wins a tie: it says most about why a text goes.
             rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (_worth(r, prune_x, prune_bad), len(r)))
         hit = covered(rule, x)
-        p, grown = int((hit & bad).sum()), hit[~fold]
-        if p < precision * hit.sum() or int(grow_bad[grown].sum()) < precision * grown.sum() or not grown.any():
-            break
+        grown = hit & ~fold
+        if (hit & bad).sum() < precision * hit.sum() or (grown & bad).sum() < precision * grown.sum():
+            asked &= ~hit
+            continue
         rules.append(rule)
-        x, bad, fold = x[~hit], bad[~hit], fold[~hit]
+        x, bad, fold, asked = x[~hit], bad[~hit], fold[~hit], asked[~hit]
     return rules
 
 
@@ -140,7 +147,16 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS
         .agg((F.min("quality") == 0).alias("bad"))
     )
     joined = with_ratios(stats).where(~base_failed()).join(bad, "doc_id").select("doc_id", "bad", *FEATURES)
-    return joined.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(rows)
+    hashed = stage_table(joined.withColumn("hash", F.xxhash64("doc_id")), "labelled-rows")
+    # Counts of the hashes' leading bits tell where the least ones end, so that few rows besides them are ordered.
+    places = hashed.groupBy(F.shiftright("hash", 64 - HASH_BITS).alias("place")).agg(F.count("*").alias("n")).orderBy("place").collect()
+    total, last = 0, None
+    for place, n in places:
+        total, last = total + n, place
+        if total >= rows:
+            break
+    least = hashed if last is None else hashed.where(F.shiftright("hash", 64 - HASH_BITS) <= last)
+    return least.orderBy("hash", "doc_id", *FEATURES).limit(rows).drop("hash")
 
 
 def learn_from(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:

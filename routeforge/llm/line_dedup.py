@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from routeforge.llm.arrow_text import mix, slices, texts_of
 from routeforge.llm.components import broadcast_if_small
+from routeforge.llm.rows import unused, whole_row
 from routeforge.llm.similar_texts import Sets, classes_by_keys, sets_by_owner
-from routeforge.session import stage_table
+from routeforge.session import stage_scope, stage_table
 
 SHINGLE = 9
 PERCENT = 80
@@ -137,6 +139,19 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, SIGNED)
 
 
+def _similar_lines(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(id, component) of the lines that are similar to others."""
+    members = signed.select("fresh", F.posexplode("keys").alias("at", "key")).select(
+        "key", F.expr(f"fresh[CAST(at DIV {BANDS} AS INT)]").alias("id")
+    )
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))
+        return lines.join(broadcast_if_small(ids), "id").select("id", "text").dropDuplicates(["id"])
+
+    return classes_by_keys(members, texts_of, shingle_sets, PERCENT)
+
+
 def line_decisions(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): row (an id of its own), doc_id, text_hash, n_lines, and dropped, the places (from 0) of
     lines that are equal or similar to a line that is kept.
@@ -145,16 +160,10 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     texts have one blank line, which stays. Equal rows are rows of their own, so a copy loses all its lines. An
     empty table gives none; columns beyond the two are not read.
     """
-    rows = stage_table(_signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed-lines")
-    members = rows.select("fresh", F.posexplode("keys").alias("at", "key")).select(
-        "key", F.expr(f"fresh[CAST(at DIV {BANDS} AS INT)]").alias("id")
-    )
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))
-        return lines.join(broadcast_if_small(ids), "id").select("id", "text").dropDuplicates(["id"])
-
-    similar = classes_by_keys(members, texts_of, shingle_sets, PERCENT)
+    with stage_scope(docs.sparkSession):
+        signed = stage_table(_signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed-lines")
+        similar = stage_table(_similar_lines(docs, signed), "similar-lines", keep=True)
+        rows = stage_table(signed.select("row", "doc_id", "text_hash", "lines"), "lines-of-texts", keep=True)  # without the keys
     lines = rows.select("row", "doc_id", F.posexplode("lines").alias("place", "id")).where("id is not null")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", "place")
     firsts = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("held"))
@@ -175,26 +184,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     All columns stay; a numeric one named n_chars, if any, is counted again. Rows that lose nothing come back as
     they are, wordless and null texts among them; of rows equal in doc_id and text one comes back.
     """
-    decided = stage_table(line_decisions(docs), "line-decisions")
-    # Rows of equal doc_id and text are alike in all that this stage looks at: the one that loses least stands for all.
-    listed = decided.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
-        F.min(F.struct(F.size("dropped").alias("lost"), "dropped")).alias("least"), F.count("*").alias("copies")
-    )
-    listed = stage_table(listed.where("least.lost > 0 or copies > 1"), "line-changes")
-    marked = docs.withColumns({"its_id": F.col("doc_id").cast("long"), "its_hash": F.xxhash64("text")})
+    with stage_scope(docs.sparkSession):
+        # Rows of equal doc_id and text are alike in all that this stage looks at: the one that loses least stands for all.
+        listed = line_decisions(docs).groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
+            F.min(F.struct(F.size("dropped").alias("lost"), "dropped")).alias("least"), F.count("*").alias("copies")
+        )
+        listed = stage_table(listed.where("least.lost > 0 or copies > 1"), "line-changes", keep=True)
+    marked = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("its_id"), F.xxhash64("text").alias("its_hash"))
     joined = marked.join(listed, F.expr("its_id <=> l_id and its_hash = l_hash"), "left")
-    worded = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    worded = F.col("doc_.text").rlike("[^\\x20\\x09-\\x0D]")
     repeated = listed.where("copies > 1")
     if not repeated.isEmpty():
         copied = (F.coalesce("copies", F.lit(1)) > 1) & F.coalesce(worded, F.lit(False))
         joined = joined.where(~copied).unionByName(joined.where(copied).dropDuplicates(["its_id", "its_hash"]))
-    schema = docs.schema
-    helpers = joined.select(*docs.columns, F.col("least.dropped").alias("dropped_"))
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*[F.col("doc_").getField(c).alias(c) for c in others], F.lit(None).cast("int").alias(unused(others, "none")))
+    parts = joined.select(F.col("doc_.text").alias("text"), rest.alias("rest"), F.col("least.dropped").alias("dropped"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, "text"):
             texts, stays = [], []
-            for text, gone in zip(table.column("text").to_pylist(), table.column("dropped_").to_pylist(), strict=True):
+            for text, gone in zip(table.column("text").to_pylist(), table.column("dropped").to_pylist(), strict=True):
                 if gone:
                     out = set(gone)
                     text = "\n".join([line for k, line in enumerate(text.split("\n")) if k not in out])
@@ -202,13 +212,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 else:
                     stays.append(True)
                 texts.append(text)
-            table = table.drop_columns(["dropped_"])
             place = table.schema.get_field_index("text")
-            table = table.set_column(place, table.schema.field(place), pa.array(texts, table.schema.field(place).type))
-            if "n_chars" in table.column_names:
-                place = table.schema.get_field_index("n_chars")
-                counted = pc.utf8_length(table.column("text")).cast(table.schema.field(place).type)
-                table = table.set_column(place, "n_chars", counted)
+            table = table.drop_columns(["dropped"]).set_column(place, table.schema.field(place), pa.array(texts, table.schema.field(place).type))
             yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
 
-    return helpers.mapInArrow(cut, schema)
+    left = parts.mapInArrow(cut, parts.drop("dropped").schema)
+    counted = {f.name: F.length("text").cast(f.dataType).alias(f.name) for f in docs.schema if f.name == "n_chars" and isinstance(f.dataType, NumericType)}
+    return left.select(*[F.col(c) if c == "text" else counted.get(c, F.col("rest").getField(c).alias(c)) for c in docs.columns])

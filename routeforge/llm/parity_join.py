@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of, words_of
 from routeforge.llm.components import broadcast_if_small
+from routeforge.llm.rows import unpacked, whole_row
 from routeforge.llm.similar_texts import Sets, classes_by_keys, sets_by_owner
-from routeforge.session import stage_table
+from routeforge.session import stage_scope, stage_table
 
 SHINGLE = 3
 PERCENT = 90
@@ -164,8 +165,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     and keeps holds). Null doc_ids take part and count as the largest; equal doc_ids stay rows of their own.
     Columns beyond the two are not read; an empty table gives none. Sets are compared by 64-bit hashes of shingles.
     """
-    rows = _sketches(docs, percent, width).withColumn("row", F.monotonically_increasing_id())
-    rows = stage_table(rows, "sketches")  # the row numbers are fixed by writing them
+    with stage_scope(docs.sparkSession):
+        sketched = _sketches(docs, percent, width).withColumn("row", F.monotonically_increasing_id())
+        sketched = stage_table(sketched, "sketches")  # the row numbers are fixed by writing them
+        classes = stage_table(_set_classes(docs, sketched, percent, width), "classes", keep=True)
+        rows = stage_table(sketched.drop("keys"), "rows", keep=True)
+    joined = rows.join(classes, ["n", "h1", "h2"], "left")
+    alone = F.col("n") == 0
+    return joined.select(
+        "doc_id",
+        "text_hash",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("kept_row"))).alias("keeps"),
+    )
+
+
+def _set_classes(docs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """(n, h1, h2, component_id, kept_row) of the sets of staged sketches."""
     named = rows.where("n > 0")
     equal = named.groupBy("n", "h1", "h2").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row")).alias("keeper")
@@ -186,18 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     found = classes_by_keys(members, texts_of, lambda texts: shingle_sets(texts, width), percent)
     classes = equal.join(found, equal["node"] == found["id"], "left").withColumn("root", F.coalesce("component", "node"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("keeper"))
-    named_classes = stage_table(
-        classes.join(roots, "root").select("n", "h1", "h2", "component_id", roots["keeper"]["row"].alias("kept_row")), "classes"
-    )
-    joined = rows.select("row", "doc_id", "text_hash", "n", "h1", "h2").join(named_classes, ["n", "h1", "h2"], "left")
-    alone = F.col("n") == 0
-    return joined.select(
-        "doc_id",
-        "text_hash",
-        F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        (alone | (F.col("row") == F.col("kept_row"))).alias("keeps"),
-    )
+    return classes.join(roots, "root").select("n", "h1", "h2", "component_id", roots["keeper"]["row"].alias("kept_row"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
@@ -205,15 +211,16 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -
 
     Of rows equal in doc_id and text, which are one component unless they have no words, one stays.
     """
-    judged = near_duplicates(docs, percent, width)
-    gone = judged.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
-        F.max("keeps").alias("stays"), F.count("*").alias("copies"), F.min("n_shingles").alias("words")
-    )
-    gone = stage_table(gone.where("not stays or (copies > 1 and words > 0)"), "near-duplicates")
-    marked = docs.withColumns({"its_id": F.col("doc_id").cast("long"), "its_hash": F.xxhash64("text")})
+    with stage_scope(docs.sparkSession):
+        judged = near_duplicates(docs, percent, width)
+        gone = judged.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
+            F.max("keeps").alias("stays"), F.count("*").alias("copies"), F.min("n_shingles").alias("words")
+        )
+        gone = stage_table(gone.where("not stays or (copies > 1 and words > 0)"), "near-duplicates", keep=True)
+    marked = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("its_id"), F.xxhash64("text").alias("its_hash"))
     listed = gone.select("l_id", "l_hash", "stays")
     joined = marked.join(broadcast_if_small(listed), F.expr("its_id <=> l_id and its_hash = l_hash"), "left")
     kept = joined.where("stays is null")
     if not gone.where("stays").isEmpty():
         kept = kept.unionByName(joined.where("stays").dropDuplicates(["its_id", "its_hash"]))
-    return kept.select(*docs.columns)
+    return unpacked(kept, docs)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of
 from routeforge.llm.components import components
-from routeforge.session import stage_table
+from routeforge.session import stage_scope, stage_table
 
 #: Pairs whose common member's text is sent once.
 PAIRS_PER_TEXT = 256
@@ -148,10 +148,16 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
        drawn from the largest component.
     2. Where a key then still holds several components, the ids outside the largest are compared with those of other components.
     """
-    # Only the keys are counted, so that the larger shuffle has keys alone.
+    with stage_scope(members.sparkSession):
+        return stage_table(_classes(members, fetch, sets_of, percent), "classes", keep=True)
+
+
+def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
+    # Only the keys are counted, and their shuffle is freed before the larger one with ids. The keys held by several are few: they are hashed, so
+    # that the many rows beside them need no sort.
     shared = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    live = members.join(shared, "key").distinct()
-    live = stage_table(live, "shared-keys")
+    shared = stage_table(shared, "shared-keys").hint("shuffle_hash")
+    live = stage_table(members.join(shared, "key", "left_semi").distinct(), "shared-keys")
     several = live.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     live = stage_table(live.join(several, "key"), "shared-keys")
     texts = stage_table(fetch(stage_table(live.select("id").distinct(), "candidate-ids")), "candidate-texts")

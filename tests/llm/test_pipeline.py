@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -93,3 +94,28 @@ def test_empty_and_odd_tables(spark, folder, documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, folder).count() == 0
         stage(spark, odd, folder).collect()
+
+
+CLASHING = "n_words string, its_id string, its_hash int, doc_ string, rest int, dropped string, least string, copies int, l_id string, stays int, kept string, n_tokens string, label string"
+
+
+def test_columns_of_the_operators_own_names(spark, folder, documents):
+    """Extra columns of any name come through every stage as they are and change no decision."""
+    names = [part.split()[0] for part in CLASHING.split(", ")]
+    kinds = dict(part.split() for part in CLASHING.split(", "))
+    more = documents
+    for k, name in enumerate(names):
+        more = more.withColumn(name, F.concat(F.lit("v"), F.col("doc_id") % (k + 2)) if kinds[name] == "string" else (F.col("doc_id") % (k + 2)).cast("int"))
+    more = more.withColumn("odd.name", F.lit(1))
+    plain = documents
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got, expected = stage(spark, more, folder), stage(spark, plain, folder)
+        if k < 4:
+            assert got.columns == more.columns and got.dtypes == more.dtypes
+            assert pairs(got) == pairs(expected) and got.count() == expected.count()
+            carried = got.select("doc_id", *names).exceptAll(more.select("doc_id", *names))
+            assert carried.count() == 0
+        else:
+            assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256").collect())) == sorted(
+                map(tuple, expected.select("doc_id", "n_tokens", "ids_sha256").collect())
+            )
