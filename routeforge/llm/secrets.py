@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -41,7 +42,11 @@ _RUNS = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"))
 _LEAST_RUN = 32
 _LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\+r)?\\+n|\\+r)[\x20\t]*")
 #: Fields of an SSH public key by type; others have two or more.
+_SSH_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$")
 _SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+#: No key has more fields than this, in either form; a candidate with more is none.
+_MOST_FIELDS = 16
+_OPENSSH = b"openssh-key-v1\x00"
 _ANY_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{2}){16,}(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
@@ -57,11 +62,11 @@ def _unbase64(text: str) -> bytes | None:
         return None
 
 
-def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values that fill data[start:end] exactly; None where they don't."""
+def _der_items(data: bytes | _Wrapped, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the values that fill data[start:end] exactly; None where they don't, or are too many for a key."""
     items = []
     while start < end:
-        if start + 2 > end:
+        if start + 2 > end or len(items) == _MOST_FIELDS:
             return None
         tag, length, start = data[start], data[start + 1], start + 2
         if length & 0x80:
@@ -76,7 +81,7 @@ def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]
     return items
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | _Wrapped) -> bool:
     """A private or public key: one SEQUENCE that fills the data, with the fields of a known key layout.
 
     Layouts: integers only (RSA, DSA), version and algorithm and OCTET STRING (PKCS #8), version and OCTET STRING (EC),
@@ -105,38 +110,45 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x03] and algorithm(fields[0])
 
 
+def _ssh_fields(data: bytes | _Wrapped) -> Iterator[int]:
+    """The ends of the length-prefixed fields that ``data`` starts with."""
+    at = 0
+    for _ in range(_MOST_FIELDS):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
+            return
+        at = end
+        yield at
+
+
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private key, or length-prefixed fields that fill the data and start with a key type."""
-    if data.startswith(b"openssh-key-v1\x00"):
+    if data.startswith(_OPENSSH):
         return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        length = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + length > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + length])
-        at += 4 + length
-    return at == len(data) and len(fields) >= 2 and bool(re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]))
+    ends = list(_ssh_fields(data))
+    return len(ends) >= 2 and ends[-1] == len(data) and _SSH_TYPE.match(data[4 : ends[0]]) is not None
 
 
-def _der_end(data: bytes) -> int | None:
+def _der_end(data: bytes | _Wrapped) -> int | None:
     """Where the value that ``data`` starts with ends, by its header; None without a whole header."""
-    n = data[1] & 0x7F if len(data) > 1 and data[1] & 0x80 else 0
-    if len(data) < 2 + n or n > 4 or data[1] == 0x80:
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80:
         return None
     return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
 
 
-def _openssh_end(data: bytes) -> int | None:
+def _openssh_end(data: bytes | _Wrapped) -> int | None:
     """Where an OpenSSH private key ends: magic, three fields, the number of keys, a field for each and one for the private part."""
-    at = len(b"openssh-key-v1\x00")
+    at = len(_OPENSSH)
     for _ in range(3):
         if at + 4 > len(data):
             return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    for _ in range(min(keys, len(data)) + 1):
+    if keys > _MOST_FIELDS:
+        return None
+    for _ in range(keys + 1):
         if at + 4 > len(data):
             return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -166,54 +178,127 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def _encoded_key(text: str, start: int, run: re.Pattern) -> tuple[str, int, int] | None:
-    """Kind, end and lines of the key that starts at ``start`` in runs of one alphabet, over as many lines as its own lengths ask for.
+class _Lines:
+    """Runs of one alphabet that follow each other from line to line, up to the first padded one or other text: where they start and end, and the
+    characters before each."""
+
+    def __init__(self, text: str, start: int, run: re.Pattern):
+        self.starts, self.ends, self.before, self.padded = [], [], [0], 0
+        m = run.match(text, start)
+        while m:
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.before.append(self.before[-1] + m.end() - m.start())
+            self.padded = _padding(text, m.end())
+            broken = None if self.padded else _LINE_END.match(text, m.end())
+            m = run.match(text, broken.end()) if broken else None
+
+
+def _padding(text: str, at: int) -> int:
+    return text.startswith("=", at) + text.startswith("==", at)
+
+
+class _Wrapped:
+    """The bytes that a run and the lines after it encode. Only what is asked for is decoded, so that lengths can be followed at once
+    over any number of lines. ``known`` has lines by their start, so that each is read once for an alphabet."""
+
+    def __init__(self, text: str, start: int, run: re.Pattern, known: dict[int, tuple[_Lines, int]]):
+        self.text, self.start = text, start
+        m = run.match(text, start)
+        self.end = m.end() if m else start
+        self.head = self.end - start
+        self.padded = _padding(text, self.end)
+        self.lines, self.first = _NONE, 0
+        broken = None if self.padded or not m else _LINE_END.match(text, self.end)
+        if broken:
+            if broken.end() not in known:
+                lines = _Lines(text, broken.end(), run)
+                known.update((at, (lines, k)) for k, at in enumerate(lines.starts))
+            self.lines, self.first = known.get(broken.end(), (_NONE, 0))
+        self.skipped = self.lines.before[self.first]
+        self.characters = self.head + self.lines.before[-1] - self.skipped
+        self.size = self.characters * 6 // 8
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _encoded(self, start: int, end: int) -> str:
+        end = min(end, self.characters)
+        out = [self.text[self.start + start : self.start + min(end, self.head)]]
+        at, end = max(start, self.head) - self.head + self.skipped, end - self.head + self.skipped
+        lines = self.lines
+        k = bisect.bisect_right(lines.before, at) - 1
+        while at < end:
+            stop = min(end, lines.before[k + 1])
+            shift = lines.starts[k] - lines.before[k]
+            out.append(self.text[at + shift : stop + shift])
+            at, k = stop, k + 1
+        return "".join(out).replace("-", "+").replace("_", "/")
+
+    def __getitem__(self, place: int | slice):
+        if isinstance(place, int):
+            return self[place : place + 1][0]
+        start, stop = place.start or 0, min(place.stop, self.size)
+        if start >= stop:
+            return b""
+        quads = self._encoded(start // 3 * 4, -(-stop // 3) * 4)
+        if len(quads) % 4 == 1:
+            quads = quads[:-1]
+        return base64.b64decode(quads + "=" * (-len(quads) % 4))[start - start // 3 * 3 :][: stop - start]
+
+    def place_of_end(self, size: int) -> tuple[int, int] | None:
+        """Where the line ends, padding included, at whose end exactly so many bytes are encoded, and its number from 1; None if there is none."""
+        needed = -(-size * 8 // 6)
+        if needed <= self.head:
+            held, place = self.head, (self.end + self.padded, 1)
+        else:
+            lines = self.lines
+            k = bisect.bisect_left(lines.before, needed - self.head + self.skipped) - 1
+            if k >= len(lines.ends):
+                return None
+            held = self.head + lines.before[k + 1] - self.skipped
+            place = (lines.ends[k] + (lines.padded if k == len(lines.ends) - 1 else 0), k - self.first + 2)
+        return place if held % 4 != 1 and held * 6 // 8 == size else None
+
 
-    Lines are taken one by one until the decoded bytes reach the length in their header; a key ends at the end of a run.
-    """
-    m = run.match(text, start)
-    if not m or m.end() - start < _LEAST_RUN:
+_NONE = _Lines("", 0, re.compile("x"))
+
+
+def _encoded_key(data: _Wrapped) -> tuple[str, int, int] | None:
+    """Kind, end and lines of the key that starts with a run, over as many lines as its own lengths ask for. It ends at the end of a line."""
+    if data.head < _LEAST_RUN:
         return None
-    data, rest, lines, first = bytearray(), "", 0, None
-    at, fields, kind = 0, 0, b""
-    while m:
-        lines += 1
-        rest += m[0].replace("-", "+").replace("_", "/")
-        whole = len(rest) // 4 * 4
-        data += base64.b64decode(rest[:whole])
-        rest = rest[whole:]
-        tail = base64.b64decode(rest + "=" * (-len(rest) % 4)) if len(rest) != 1 else None
-        size = None if tail is None else len(data) + len(tail)
-        seen = bytes(data[:16])
-        ends = m.end()
-        padded = ends + (text.startswith("=", ends) and 1 + text.startswith("=", ends + 1))
-        if seen[0] == 0x30:
-            need = _der_end(seen)
-            if need is None or need > len(text) - start:
-                return None
-            if size is not None and size >= need:
-                return ("der_key", padded, lines) if size == need and is_der_key(bytes(data + tail)) else None
-        elif seen.startswith(b"openssh-key-v1\x00"):
-            first = first or ("ssh_key", padded, 1)
-            need = _openssh_end(bytes(data + (tail or b"")))
-            if need is not None and size is not None and size >= need:
-                return ("ssh_key", padded, lines) if size == need else first
-        else:
-            if not re.match(rb"\x00\x00\x00.(ssh|ecdsa|sk)-", seen, re.DOTALL):
+    seen = data[:24]
+
+    def found(kind: str, size: int) -> tuple[str, int, int] | None:
+        place = data.place_of_end(size)
+        return None if place is None else (kind, *place)
+
+    if seen[0] == 0x30:
+        size = _der_end(seen)
+        if size is None or size > len(data):
+            return None
+        key = found("der_key", size)
+        data.size = size
+        return key if key and is_der_key(data) else None
+    if seen.startswith(_OPENSSH):
+        size = _openssh_end(data)
+        return (found("ssh_key", size) if size is not None and size <= len(data) else None) or ("ssh_key", data.end + data.padded, 1)
+    if not re.match(rb"\x00\x00\x00.(ssh|ecdsa|sk)-", seen, re.DOTALL):
+        return None
+    kind, one_line = b"", None
+    for fields, end in enumerate(_ssh_fields(data), 1):
+        if fields == 1:
+            kind = data[4:end] if end <= 64 else b""
+            if not _SSH_TYPE.match(kind):
                 return None
-            joined = data + (tail or b"")
-            while at + 4 <= len(joined) and (end := at + 4 + int.from_bytes(joined[at : at + 4], "big")) <= len(joined):
-                kind = kind or bytes(joined[at + 4 : end])
-                at, fields = end, fields + 1
-            if at == size and is_ssh_key(bytes(joined)):
-                if fields >= _SSH_FIELDS.get(kind, 3 if kind.startswith(b"ecdsa-") else 2):
-                    return "ssh_key", padded, lines
-                first = first or (("ssh_key", padded, 1) if lines == 1 else None)
-        if padded > ends:
-            break
-        broken = _LINE_END.match(text, ends)
-        m = run.match(text, broken.end()) if broken else None
-    return first
+            continue
+        key = found("ssh_key", end)
+        if key and fields >= _SSH_FIELDS.get(kind, 3 if kind.startswith(b"ecdsa-") else 2):
+            return key
+        if key and key[2] == 1:
+            one_line = key
+    return one_line
 
 
 def structural_spans(text: str) -> list[Span]:
@@ -227,13 +312,18 @@ def structural_spans(text: str) -> list[Span]:
             if data and (is_der_key(data) or is_ssh_key(data)):
                 spans.append(("pem_key", m.start(), m.end()))
     armoured = [(a, b) for kind, a, b in spans if kind == "pem_key"]
+    armours = [a for a, _ in armoured]
+    known: list[dict[int, tuple[_Lines, int]]] = [{} for _ in _RUNS]
     done = 0
     for m in _ENCODED.finditer(text):
         if m.start() < done:
             continue
-        found = next(filter(None, (_encoded_key(text, m.start(), run) for run in _RUNS)), None)
+        found = None
+        for run, lines in zip(_RUNS, known, strict=True):
+            found = found or _encoded_key(_Wrapped(text, m.start(), run, lines))
         # The lines of an armoured key are no second find.
-        if found and not (found[2] > 1 and any(a <= m.start() < b for a, b in armoured)):
+        around = bisect.bisect_right(armours, m.start()) - 1
+        if found and not (found[2] > 1 and around >= 0 and m.start() < armoured[around][1]):
             spans.append((found[0], m.start(), found[1]))
             done = found[1]
     # A DER SEQUENCE is 30 in hex.

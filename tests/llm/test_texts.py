@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -120,6 +121,20 @@ def test_whole_keys_in_every_form():
                 assert secrets.structural_spans(f'{{"key": "{pem}"}}') == [("pem_key", 9, 9 + len(pem))]
 
 
+def test_a_megabyte_of_unfinished_keys_takes_seconds():
+    ssh = base64.b64encode(b"\x00\x00\x00\x07ssh-rsa" + b"\x00\x00\x00\x00" * 10 + b"\x00\x00\xff\xff").decode().rstrip("=")
+    der = base64.b64encode(b"\x30\x82\x7f\xff\x02\x01\x00" + b"\x02\x01\x07" * 12).decode().rstrip("=")
+    own = base64.b64encode(b"openssh-key-v1\x00" + b"\x00\x00\x00\x00" * 3 + b"\x00\x0f\xff\xff" + b"\x00" * 24).decode().rstrip("=")
+    pem = "-----BEGIN PRIVATE KEY-----\n" + der + "\n-----END PRIVATE KEY-----\n"
+    texts = [line + "\n" for line in (ssh, der, own)] + ["-----" + line + "\n" for line in (ssh, der, own)] + [pem, "eyJhbGci.", "30" * 40 + "x ", "password ", "AAAA" * 20 + "\\n"]
+    for text in texts:
+        whole = text * (1_000_000 // len(text))
+        started = time.process_time()
+        secrets.base_spans(whole)
+        secrets.structural_spans(whole)
+        assert time.process_time() - started < 20, text[:40]
+
+
 def test_secret_edges(edge, nothing):
     got = secrets.find_secrets(edge).collect()
     assert sorted((r.doc_id for r in got), key=repr) == sorted((i for i, _ in EDGE), key=repr)
