@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ from routeforge.operators import (
     views,
     zones,
 )
-from routeforge.session import stage_table, tune
+from routeforge.session import scratch_folder, stage_table, tune
+from routeforge.sources import files
 from routeforge.sources.season import Season
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +214,18 @@ def cluster_assign(s):
     return zones.nearest_exemplar(features, exemplars).select(*ROUTE_KEYS, "cluster")
 
 
+@query(
+    """SELECT (SELECT count(*) FROM exemplars) AS exemplars,
+    near((sum(gap * gap) + 50 * (SELECT count(*) FROM exemplars)) / count(*), 4) AS cost_per_route FROM nearest_gaps"""
+)
+def clustering_cost(s):
+    """What a set of exemplars costs over all routes."""
+    features = stage_table(routes.route_features(_weighted_routes(s)), "route-features")
+    exemplars = stage_table(zones.first_exemplars(features, s.player_play()), "exemplars")
+    cost = exemplar_clustering.clustering_cost(features, exemplars)
+    return rounded(cost.crossJoin(features.agg(F.count("*").alias("n"))).select("exemplars", (F.col("cost") / F.col("n")).alias("cost_per_route")), 4)
+
+
 @query("""SELECT cluster, route_mode FROM modes""")
 def cluster_route_mode(s):
     return zones.cluster_modes(s.player_play(), s.clusters())
@@ -734,6 +748,88 @@ def designed_features(s):
     return rounded(rows.select(*ROUTE_KEYS, "route_mode", *GEOMETRY, *COUNTS))
 
 
+def _unmoved_rows(s):
+    template = _template(s)
+    moves = _moves(s, template).filter((F.col("design_id") + F.col("receiverId")) % 3 == 0)
+    return playbook.designed_rows(template, _designs(s), moves)
+
+
+@query(
+    """SELECT "playId", "nflId", near(x, 6) AS x, near(y, 6) AS y, near(x_recep_zone, 6) AS x_recep_zone,
+    near(y_recep_zone, 6) AS y_recep_zone, route_mode, 'NFL' AS club FROM unmoved_rows"""
+)
+def designed_defaults(s):
+    """Designs in which most receivers weren't moved."""
+    rows = _unmoved_rows(s).filter(F.col("wasRunningRoute") == 1)
+    return rounded(rows.select("playId", "nflId", "x", "y", "x_recep_zone", "y_recep_zone", "route_mode", "club"))
+
+
+@query(
+    """SELECT "playId", CAST(slot AS BIGINT) AS "nflId", 'Player ' || slot AS "displayName", near(x, 6) AS x, near(y, 6) AS y FROM board_rows
+    WHERE "wasRunningRoute" = 0 UNION ALL SELECT DISTINCT "playId", NULL, NULL, near(x_ball, 6), near(26.65e0, 6) FROM board_rows"""
+)
+def designed_ball(s):
+    """Players of designed plays who run no route, and the ball, which lacks most columns."""
+    rows = playbook.with_ball(_unmoved_rows(s)).filter("wasRunningRoute = 0 or wasRunningRoute is null")
+    return rounded(rows.select("playId", "nflId", "displayName", "x", "y"))
+
+
+# ---- files ------------------------------------------------------------------------------
+
+
+def _new_folder(s, name):
+    return f"{scratch_folder(s.spark)}/routeforge-{s.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """SELECT week, "gameId", "playId", "nflId", count(*) AS frames, CAST(sum("frameId") AS BIGINT) AS frame_sum, min(x) AS x_low,
+    max(x) AS x_high, min(y) AS y_low, max(y) AS y_high, count(o) AS o_known, count(event) AS events, min(club) AS club
+    FROM tracking GROUP BY week, "gameId", "playId", "nflId" """
+)
+def tracking_scan(s):
+    """All frames, written as weekly CSV tables and read in one scan."""
+    folder = _new_folder(s, "tracking-csv")
+    files.write_tracking(s.tracking(), folder)
+    frames = files.read_tracking(s.spark, folder)
+    return frames.groupBy("week", *ROUTE_KEYS).agg(
+        F.count("*").alias("frames"),
+        F.sum("frameId").alias("frame_sum"),
+        F.min("x").alias("x_low"),
+        F.max("x").alias("x_high"),
+        F.min("y").alias("y_low"),
+        F.max("y").alias("y_high"),
+        F.count("o").alias("o_known"),
+        F.count("event").alias("events"),
+        F.min("club").alias("club"),
+    )
+
+
+@query("""SELECT * FROM plays""")
+def csv_plays(s):
+    """Plays with their nulls through a CSV file."""
+    folder = _new_folder(s, "plays-csv")
+    files.write_csv(s.plays(), f"{folder}/plays.csv")
+    return files.read_source(s.spark, folder, "plays")
+
+
+@query("""SELECT * FROM player_play""")
+def csv_player_play(s):
+    folder = _new_folder(s, "player-play-csv")
+    files.write_csv(s.player_play(), f"{folder}/player_play.csv")
+    return files.read_source(s.spark, folder, "player_play")
+
+
+@query(
+    """SELECT "offenseFormation", "receiverAlignment", slot, "position", "wasRunningRoute", near(x, 6) AS x, near(y, 6) AS y
+    FROM template"""
+)
+def template_json(s):
+    """Formation templates through nested JSON."""
+    path = _new_folder(s, "template-json")
+    files.write_templates(_template(s), path)
+    return rounded(files.read_templates(s.spark, path))
+
+
 # ---- learned operators ------------------------------------------------------------------
 # Their numbers depend on the learner, so there is no SQL twin. Few rounds keep the check
 # short; the rows are all there.
@@ -762,16 +858,26 @@ def exemplars(s):
     return exemplar_clustering.train_exemplars(_shapes(s))
 
 
-@query()
+def _forest_shapes(s):
+    """Shapes rounded as in route_features, so that both engines grow their forest on equal numbers."""
+    return _once(s, "forest-shapes", lambda: stage_table(_round_shape(_shapes(s)), "forest-shapes"))
+
+
+def _scored(s):
+    return isolation.predict_outliers(_forest_shapes(s), isolation.train_outliers(_forest_shapes(s)))
+
+
+@query("""SELECT "gameId", "playId", "nflId", anomaly FROM forest_anomaly""")
 def outliers(s):
-    forest = isolation.train_outliers(_shapes(s))
-    return isolation.predict_outliers(_shapes(s), forest).select(*ROUTE_KEYS, "anomaly")
+    return _scored(s).select(*ROUTE_KEYS, "anomaly")
 
 
-@query()
+@query(
+    f"""SELECT week, "gameId", "playId", "nflId", {_SHAPE_SQL} FROM features
+    JOIN forest_anomaly USING ("gameId", "playId", "nflId") WHERE anomaly = 1"""
+)
 def outliers_removed(s):
-    forest = isolation.train_outliers(_shapes(s))
-    return isolation.remove_outliers(isolation.predict_outliers(_shapes(s), forest))
+    return isolation.remove_outliers(_scored(s))
 
 
 @query()
@@ -816,7 +922,7 @@ def orpsp_classes(s):
 @query()
 def feature_importance(s):
     rows = _model_rows(s)[1].filter("is_test").filter(F.col("orpsp_target").isNotNull())
-    return boosting.permutation_importance(rows, _open_model(s))
+    return boosting.feature_importance(rows, _open_model(s))
 
 
 def _time_model(s):

@@ -184,6 +184,10 @@ VIEWS["assigned"] = f"""
 SELECT f."gameId", f."playId", f."nflId", arg_min(e.cluster, sqrt({_GAP})) AS cluster
 FROM features f, (SELECT * FROM exemplars ORDER BY cluster) e GROUP BY f."gameId", f."playId", f."nflId" """
 
+VIEWS["nearest_gaps"] = f"""
+SELECT f."gameId", f."playId", f."nflId", min(sqrt({_GAP})) AS gap
+FROM features f, exemplars e GROUP BY f."gameId", f."playId", f."nflId" """
+
 VIEWS["modes"] = """
 SELECT cluster, CASE "routeRan" WHEN 'GO' THEN 'straight' WHEN 'HITCH' THEN 'shortstraight'
   WHEN 'SLANT' THEN 'early45angle' WHEN 'CROSS' THEN 'early45angle' WHEN 'POST' THEN 'late45angle'
@@ -402,6 +406,82 @@ JOIN template_receivers r USING ("offenseFormation", "receiverAlignment", "recei
 VIEWS["designed_geometry"] = geometry_sql("designed_rows")
 VIEWS["designed_counts"] = counts_sql("designed_rows")
 
+# Two thirds of the receivers unmoved: they run straight to a zone ten yards ahead.
+_UNMOVED = '(p."playId" + r."receiverId") % 3 > 0'
+VIEWS["unmoved_moves"] = f"""
+SELECT m.design_id, m."receiverId", CASE WHEN {_UNMOVED} THEN r.x ELSE m.x END AS x, r.y AS y,
+  CASE WHEN {_UNMOVED} THEN r.x + 10 ELSE m.x_zone END AS x_zone, CASE WHEN {_UNMOVED} THEN r.y ELSE m.y_zone END AS y_zone,
+  CASE WHEN {_UNMOVED} THEN 'straight' ELSE m.route_type END AS route_type
+FROM moves m JOIN plays p ON p."playId" = m.design_id
+JOIN template_receivers r USING ("offenseFormation", "receiverAlignment", "receiverId")"""
+VIEWS["unmoved_bent"] = VIEWS["bent"].replace("FROM moves", "FROM unmoved_moves")
+VIEWS["unmoved_class"] = VIEWS["designed_class"].replace("FROM bent", "FROM unmoved_bent")
+VIEWS["unmoved_rows"] = VIEWS["designed_rows"].replace("FROM designed_class", "FROM unmoved_class")
+VIEWS["board_rows"] = """
+SELECT p."playId", t.slot, t."wasRunningRoute", CASE WHEN t."wasRunningRoute" = 1 THEN NULL ELSE t.x + p."absoluteYardlineNumber" END AS x, t.y, CAST(p."absoluteYardlineNumber" AS DOUBLE) AS x_ball
+FROM plays p JOIN template t USING ("offenseFormation", "receiverAlignment")"""
+
+
+# ---- isolation forest, grown and walked level by level ------------------------------------
+
+_KEYS_TEXT = "CAST(\"gameId\" AS VARCHAR) || '|' || CAST(\"playId\" AS VARCHAR) || '|' || CAST(\"nflId\" AS VARCHAR)"
+
+
+def _chance(text: str, first: int = 1) -> str:
+    return f"CAST('0x' || substr(md5({text}), {first}, 13) AS BIGINT)"
+
+
+_LEVELS = 8
+_VALUES = ", ".join(f"coalesce(near({c}, {4 if c.startswith('coef') else 6}), 0e0)" for c in _SHAPE)
+VIEWS["forest_routes"] = f"""
+SELECT "gameId", "playId", "nflId", {_chance(_KEYS_TEXT)} AS h1, {_chance(_KEYS_TEXT, 14)} AS h2, [{_VALUES}] AS v FROM features"""
+
+VIEWS["forest_0"] = """
+SELECT tree, 1 AS node, v FROM (
+  SELECT t.tree, r.v, row_number() OVER (PARTITION BY t.tree ORDER BY (r.h1 + t.tree * r.h2) % 4503599627370496,
+    r."gameId", r."playId", r."nflId") AS rn FROM forest_routes r, (SELECT unnest(range(100)) AS tree) t) WHERE rn <= 256"""
+
+VIEWS["forest_limits"] = """
+SELECT tree, count(*) AS sample, greatest(1, CAST(ceil(log2(greatest(count(*), 2))) AS INT)) AS deepest FROM forest_0 GROUP BY tree"""
+
+_SPANS = ", ".join(f"{{'f': {k + 1}, 'lo': min(v[{k + 1}]), 'hi': max(v[{k + 1}])}}" for k in range(len(_SHAPE)))
+for _k in range(_LEVELS + 1):
+    VIEWS[f"forest_spans_{_k}"] = f"""
+SELECT tree, node, count(*) AS n, list_filter([{_SPANS}], lambda x: x.hi > x.lo) AS usable FROM forest_{_k} GROUP BY tree, node"""
+    _node = "CAST(tree AS VARCHAR) || '|' || CAST(node AS VARCHAR) || '|"
+    VIEWS[f"forest_splits_{_k}"] = f"""
+SELECT tree, node, s.f AS f, CASE WHEN s.lo + u * (s.hi - s.lo) >= s.hi THEN s.lo ELSE s.lo + u * (s.hi - s.lo) END AS threshold
+FROM (SELECT tree, node, {_chance(_node + "t'")} / 4503599627370496e0 AS u,
+        usable[1 + CAST(floor({_chance(_node + "f'")} / 4503599627370496e0 * len(usable)) AS INT)] AS s
+      FROM forest_spans_{_k} JOIN forest_limits USING (tree) WHERE {_k} < deepest AND len(usable) > 0)"""
+    if _k < _LEVELS:
+        VIEWS[f"forest_{_k + 1}"] = f"""
+SELECT tree, node * 2 + CASE WHEN v[f] > threshold THEN 1 ELSE 0 END AS node, v FROM forest_{_k} JOIN forest_splits_{_k} USING (tree, node)"""
+
+_ALL_SPANS = " UNION ALL ".join(f"SELECT tree, node, n FROM forest_spans_{k}" for k in range(_LEVELS + 1))
+_ALL_SPLITS = " UNION ALL ".join(f"SELECT tree, node, f, threshold FROM forest_splits_{k}" for k in range(_LEVELS + 1))
+
+
+def _average_path(n: str) -> str:
+    return f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329e0) - 2e0 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1e0 ELSE 0e0 END"
+
+
+VIEWS["forest_leaves"] = f"""
+SELECT tree, node, floor(log2(node)) + {_average_path("n")} AS path FROM ({_ALL_SPANS})
+ANTI JOIN ({_ALL_SPLITS}) USING (tree, node)"""
+
+VIEWS["forest_walk_0"] = """
+SELECT "gameId", "playId", "nflId", v, tree, 1 AS node FROM forest_routes, (SELECT DISTINCT tree FROM forest_limits)"""
+for _k in range(_LEVELS):
+    VIEWS[f"forest_walk_{_k + 1}"] = f"""
+SELECT "gameId", "playId", "nflId", v, w.tree, CASE WHEN f IS NULL THEN w.node WHEN v[f] > threshold THEN w.node * 2 + 1 ELSE w.node * 2 END AS node
+FROM forest_walk_{_k} w LEFT JOIN forest_splits_{_k} s ON s.tree = w.tree AND s.node = w.node"""
+
+VIEWS["forest_anomaly"] = f"""
+SELECT "gameId", "playId", "nflId", CASE WHEN pow(2e0, -avg(path) / (SELECT {_average_path("max(sample)")} FROM forest_limits)) > 0.5e0
+  THEN -1 ELSE 1 END AS anomaly
+FROM forest_walk_{_LEVELS} JOIN forest_leaves USING (tree, node) GROUP BY "gameId", "playId", "nflId" """
+
 
 # Sums come in another order in each engine. A value is compared after rounding, and moved
 # off the rounding grid first: exact fractions would sit on its ties otherwise.
@@ -438,9 +518,10 @@ def used_views(sql: str) -> list[str]:
 
 
 def with_views(sql: str) -> str:
-    sql = spell_out(sql)
     names = used_views(sql)
     if not names:
-        return sql
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in names)
-    return f"WITH {ctes}\n{sql.strip()}"
+        return spell_out(sql)
+    # The levels of the forest are read more than once each.
+    kept = {name for name in names if name.startswith("forest_") and "walk" not in name}
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in kept else ''}({VIEWS[name]})" for name in names)
+    return spell_out(f"WITH {ctes}\n{sql.strip()}")

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeforge.operators.ranking import running_total
-
-# Slices of the score range; only one slice at a time is ordered in a task.
-SCORE_SLICES = 1024
+from routeforge.operators.ranking import ranges, running_total
 
 
 def confusion_matrix(rows: DataFrame) -> DataFrame:
@@ -72,13 +69,14 @@ def classification_report(rows: DataFrame) -> DataFrame:
 def _score_steps(rows: DataFrame) -> DataFrame:
     """Positives and negatives at each score, and how many of each score higher.
 
-    Equal scores are merged first; a heap of copies of one score is a single row here.
+    Equal scores are merged first; a heap of copies of one score is a single row here. Slices are ranges of the scores that occur, about
+    equal in rows wherever the scores lie; only one slice at a time is ordered in a task.
     """
     steps = rows.groupBy("score").agg(
         F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")
     )
-    slice_ = F.floor((1 - F.col("score")) * SCORE_SLICES)
-    return running_total(steps, [], slice_, [F.desc("score")], ["pos", "neg"])
+    order = [F.desc("score")]
+    return running_total(ranges(steps, order, "score-steps"), [], F.col("range"), order, ["pos", "neg"]).drop("range")
 
 
 def roc_curve(rows: DataFrame) -> DataFrame:
@@ -102,7 +100,3 @@ def rmse(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     gap = F.col(actual) - F.col(predicted)
     return rows.agg(F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
-
-def log_loss_term(label: str, score: str):
-    p = F.greatest(F.least(F.col(score), F.lit(1 - 1e-12)), F.lit(1e-12))
-    return -F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeforge.session import stage_table
+
+
+def ranges(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` in ranges of ``order`` of about equal rows, written, with ``range`` numbering them: slices for running_total whatever
+    the values are. The number is written with the rows, so that a recomputed task cannot change it."""
+    return stage_table(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+
 
 def running_total(
     df: DataFrame,

@@ -13,48 +13,25 @@ from routeforge.constants import (
     SHAPE_FEATURES,
     ZONE_COLUMNS,
 )
+from routeforge.operators.nearest import nearest, shape_struct
 from routeforge.operators.tracking import route_runners, targeted
-
-# Exemplars compared at once; more of them are folded in one further block after another.
-EXEMPLAR_BLOCK = 2000
-
+from routeforge.session import stage_table
 
 def nearest_exemplar(
     features: DataFrame, exemplars: DataFrame, columns: list[str] = SHAPE_FEATURES
 ) -> DataFrame:
     """Add ``cluster``: the exemplar nearest to each row, ties to the lowest number.
 
-    ``exemplars`` is a small written table of (cluster, columns...). Each block of it
-    becomes one array value that every task compares row by row, so no pair of row and
-    exemplar is ever materialised and ``features`` is not shuffled. A missing spread
-    (one-frame route) counts as zero.
+    ``exemplars`` is a table of (cluster, columns...). Distinct shapes look theirs up in a
+    metric index, by equi-joins on cells, so neither table is held in one piece anywhere. A
+    missing spread (one-frame route) counts as zero.
     """
-    top = exemplars.agg(F.max("cluster")).first()[0]
-    starts = range(0, top + 1, EXEMPLAR_BLOCK)
-    blocks = {
-        f"_block{low}": _exemplar_block(exemplars, columns, low, low + EXEMPLAR_BLOCK) for low in starts
-    }
-    best = [_nearest_in(F.col(name), columns) for name in blocks]
-    winner = best[0] if len(best) == 1 else F.array_min(F.array(*best))
-    return features.withColumns(blocks).withColumn("cluster", winner["cluster"]).drop(*blocks)
-
-
-def _exemplar_block(exemplars: DataFrame, columns: list[str], low: int, high: int) -> Column:
-    row = F.struct("cluster", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
-    return exemplars.filter(F.col("cluster").between(low, high - 1)).agg(F.collect_list(row)).scalar()
-
-
-def _nearest_in(block: Column, columns: list[str]) -> Column:
-    """The least (gap, cluster) over an array of exemplars."""
-
-    def measured(e: Column) -> Column:
-        total = None
-        for c in columns:
-            gap = F.coalesce(F.col(c), F.lit(0.0)) - e[c]
-            total = gap * gap if total is None else total + gap * gap
-        return F.struct(F.sqrt(total).alias("gap"), e["cluster"].alias("cluster"))
-
-    return F.array_min(F.transform(block, measured))
+    marked = features.drop("cluster").withColumn("_shape", shape_struct(columns))
+    shapes = marked.select(F.col("_shape").alias("shape")).distinct()
+    shapes = stage_table(shapes.withColumn("id", F.monotonically_increasing_id()), "shapes")
+    known = stage_table(exemplars.select("cluster", shape_struct(columns)), "exemplars")
+    looked_up = nearest(shapes, known, columns).select(F.col("shape").alias("_shape"), "cluster")
+    return marked.join(looked_up, "_shape").drop("_shape")
 
 
 def first_exemplars(features: DataFrame, player_play: DataFrame) -> DataFrame:

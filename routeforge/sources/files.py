@@ -32,20 +32,36 @@ def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_csv(spark, f"{folder}/{name}.csv", schemas.SOURCES[name])
 
 
+def _require(spark: SparkSession, paths: list[str]) -> None:
+    """The first of the paths that is not there, in their order, is an error."""
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+            raise FileNotFoundError(f"no file {path}")
+
+
 def read_tracking(spark: SparkSession, folder: str, weeks: int | None = None) -> DataFrame:
-    """Weekly tracking files in one scan, with the week from the file name: weeks 1..weeks, each of which has to be there, or
-    all that the folder holds."""
+    """Weekly tracking files (or folders of parts, as write_tracking leaves them) in one scan, with the week from the name: weeks
+    1..weeks, each of which has to be there, or all that the folder holds."""
     if weeks is not None and weeks < 1:
         raise ValueError("weeks should be 1 or more")
     if weeks is None:
         paths = [f"{folder}/tracking_week_*.csv"]
     else:
         paths = [f"{folder}/tracking_week_{i}.csv" for i in range(1, weeks + 1)]
-    week = F.regexp_extract(F.col("_metadata.file_name"), r"week_(\d+)", 1).cast("int")
+        _require(spark, paths)
+    week = F.regexp_extract(F.col("_metadata.file_path"), r"tracking_week_(\d+)\.csv", 1).cast("int")
     frames = _scan(spark, paths, schemas.TRACKING)
     return frames.select(*schemas.TRACKING, week.alias("week"))
 
 
+def write_tracking(tracking: DataFrame, folder: str) -> None:
+    """Frames as one CSV table per week, named as read_tracking finds them."""
+    for row in tracking.select("week").distinct().orderBy("week").toLocalIterator():  # a season's weeks
+        week = tracking.filter(F.col("week") == row["week"]).select(*schemas.TRACKING)
+        write_csv(week, f"{folder}/tracking_week_{row['week']}.csv")
+
+
 def store_tracking(tracking: DataFrame, path: str) -> None:
     """Columnar copy of the frames, one folder per week, so that a week is a folder scan.
     The jobs should read this, not the CSV files."""
