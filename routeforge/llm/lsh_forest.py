@@ -237,7 +237,7 @@ def _classes(strings_: DataFrame, fetch, percent: int, width: int) -> DataFrame:
         open_ = stage_table(placed_in(regions), "open-regions")
         few = open_ if level + 1 == len(DEPTHS) else open_.where(F.col("outside") <= CROWD)
         new = _across(few, sketches, percent).join(tested, ["a", "b"], "left_anti")
-        links = joined(links, confirmed(new))
+        links = joined(links, confirmed(possible_links(new, sketches, percent)))
         found = stage_table(components(links), "components")
         if level + 1 == len(DEPTHS):
             break

@@ -22,6 +22,8 @@ from routeforge.session import stage_scope, stage_table
 PAIRS_PER_TEXT = 256
 #: 64-bit words of a candidate's parity sketch.
 SKETCH_WORDS = 16
+#: Sets of more elements have a long sketch as well, of at least a bit for each element: so many toggle all bits of a short one.
+LONG_SETS = 500
 #: Rounds in which the ids of a key are compared with few of them only, before the rest is compared: in the first, with the key's
 #: least id; in later ones, with STAR_DRAWS ids drawn from the key's largest component. They end early when fewer than one pair
 #: in STAR_YIELD is a link. All this settles only how much is found cheaply.
@@ -97,9 +99,10 @@ def confirm(sent: DataFrame, sets_of, links) -> DataFrame:
 
 
 def parity_sketches(texts: DataFrame, sets_of: SetsOf) -> DataFrame:
-    """(id, n, s0, s1, ...) of texts (id, text): the set's size, and a bit sketch in which each element toggles one bit.
+    """(id, n, s0, s1, ..., long) of texts (id, text): the set's size, and a bit sketch in which each element toggles one bit. ``long`` is a sketch of
+    a power of two of bits, as many as elements or more; null for sets of up to LONG_SETS.
 
-    Two sketches differ in at most as many bits as the symmetric difference has elements.
+    Two sketches of equal length differ in at most as many bits as the symmetric difference has elements.
     """
     words = [f"s{k}" for k in range(SKETCH_WORDS)]
 
@@ -113,9 +116,31 @@ def parity_sketches(texts: DataFrame, sets_of: SetsOf) -> DataFrame:
             np.bitwise_xor.at(made, place, np.uint64(1) << (bits % np.uint64(64)))
             made = made.reshape(-1, SKETCH_WORDS).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(made[:, k])) for k in range(SKETCH_WORDS)]
-            yield pa.record_batch([table.column("id").combine_chunks(), pa.array(sets.sizes, pa.int64()), *columns], ["id", "n", *words])
+            long_ = pa.array([_long_sketch(sets.hashes[a:b]) for a, b in zip(sets.starts[:-1].tolist(), sets.starts[1:].tolist(), strict=True)], pa.list_(pa.int64()))
+            yield pa.record_batch([table.column("id").combine_chunks(), pa.array(sets.sizes, pa.int64()), *columns, long_], ["id", "n", *words, "long"])
 
-    return texts.select("id", "text").mapInArrow(sketch, "id long, n long, " + ", ".join(f"{w} long" for w in words))
+    return texts.select("id", "text").mapInArrow(sketch, "id long, n long, " + ", ".join(f"{w} long" for w in words) + ", long array<long>")
+
+
+def _long_sketch(hashes: np.ndarray) -> np.ndarray | None:
+    if len(hashes) <= LONG_SETS:
+        return None
+    bits = 64 << max(0, int(len(hashes) - 1).bit_length() - 6)
+    odd = np.bincount((mix(hashes, 334) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _long_difference(x: str, y: str) -> str:
+    """SQL of the number of bits in which two long sketches differ. The longer one is folded to the length of the other, which toggles
+    each bit as a sketch of that length would."""
+    words = f"least(size({x}), size({y}))"
+
+    def folded(v: str) -> str:
+        turns = f"sequence(0, size({v}) div {words} - 1)"
+        each = f"transform(sequence(0, {words} - 1), i -> aggregate({turns}, 0L, (s, j) -> s ^ {v}[CAST(i + j * {words} AS int)]))"
+        return f"if(size({v}) = {words}, {v}, {each})"
+
+    return f"aggregate(zip_with({folded(x)}, {folded(y)}, (a, b) -> bit_count(a ^ b)), 0L, (s, v) -> s + v)"
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
@@ -126,15 +151,20 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 
 def with_sketch(table: DataFrame, sketches: DataFrame, name: str, prefix: str) -> DataFrame:
-    """``table`` with the sketch of the id in column ``name``, under names with ``prefix``."""
-    fresh = [F.col("id").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in sketches.columns if c != "id"]]
+    """``table`` with the size and short sketch of the id in column ``name``, under names with ``prefix``."""
+    fresh = [F.col("id").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in sketches.columns if c not in ("id", "long")]]
     return table.join(sketches.select(*fresh), name)
 
 
 def possible_links(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches don't rule out."""
-    both = with_sketch(with_sketch(pairs, sketches, "a", "x"), sketches, "b", "y")
-    return both.where(may_link("x", "y", percent)).select("a", "b")
+    both = with_sketch(with_sketch(pairs, sketches, "a", "x"), sketches, "b", "y").where(may_link("x", "y", percent))
+    left = stage_table(both.select("a", "b", (F.col("xn") + F.col("yn")).alias("sizes"), F.least("xn", "yn").alias("least")), "sketched-pairs")
+    large = left.where(F.col("least") > LONG_SETS)
+    for name, side in (("a", "xlong"), ("b", "ylong")):
+        large = large.join(sketches.select(F.col("id").alias(name), F.col("long").alias(side)), name)
+    near = large.where(f"{100 + percent} * {_long_difference('xlong', 'ylong')} <= {100 - percent} * sizes")
+    return left.where(F.col("least") <= LONG_SETS).select("a", "b").unionByName(near.select("a", "b"))
 
 
 def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
@@ -210,5 +240,5 @@ def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_o
     condition = (left["key"] == right["key"]) & (F.col("xc") != F.col("yc")) & may_link("x", "y", percent)
     rest = left.join(right, condition).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
     rest = rest.join(tested, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    new = links_of(rest)
+    new = links_of(possible_links(rest, sketches, percent))
     return found if new.isEmpty() else components(links.union(new))

@@ -137,3 +137,29 @@ def test_large_sets_need_few_hashes_at_low_similarity():
         hashes = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         keys, _ = parity_join.sketch_keys(Sets(hashes, np.array([0, len(hashes)])), 80)
         assert 0 < len(keys) < 1.5 * n
+
+
+def test_long_sketches_never_rule_out_a_link(spark):
+    """Of pairs of large sets those that link stay, and most that share half go; sketches of different lengths are folded."""
+    import random
+
+    from routeforge.llm.similar_texts import parity_sketches, possible_links
+
+    rng = random.Random(11)
+    texts, pairs, linked = [], [], []
+    for size in (300, 600, 1000, 1030, 2100, 5000):
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(size)]
+        for share in (0.0, 0.03, 0.3):
+            cut = int(size * (1 - share / 2))
+            other = base[:cut] + [f"x{rng.randint(0, 10**9)}" for _ in range(int(size * share * 0.4))]
+            texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(other))]
+            pairs.append((len(texts) - 2, len(texts) - 1))
+            a, b = brute_set(texts[-2][1]), brute_set(texts[-1][1])
+            linked.append(100 * len(a & b) >= 80 * len(a | b))
+    frame = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    sketches = parity_sketches(frame, parity_join.shingle_sets)
+    kept = {tuple(r) for r in possible_links(spark.createDataFrame(pairs, "a long, b long"), sketches, 80).collect()}
+    assert {p for p, link in zip(pairs, linked) if link} <= kept and sum(linked) >= 8
+    unlike = [(2 * k, 2 * j + 1) for k in range(len(pairs)) for j in range(len(pairs)) if texts[2 * k][1][:40] != texts[2 * j + 1][1][:40]]
+    passed = possible_links(spark.createDataFrame(unlike, "a long, b long"), sketches, 80).count()
+    assert passed == 0
