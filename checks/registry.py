@@ -831,10 +831,7 @@ def template_json(s):
 
 
 # ---- learned operators ------------------------------------------------------------------
-# Their numbers depend on the learner, so there is no SQL twin. Few rounds keep the check
-# short; the rows are all there.
-
-ROUNDS, STEP = 8, 0.1
+# Boosted scores depend on the learner, so they have no SQL twin. Rounds, rate and depth are the package's own.
 
 _kept: dict[tuple[str, int, str, str], object] = {}
 
@@ -884,7 +881,7 @@ def outliers_removed(s):
 def impute_zones(s):
     known = _zones(s)
     rows = stage_table(boosting.zone_training_rows(_shapes(s), s.clusters(), known), "zone-rows")
-    return boosting.impute_zones(rows, known, ROUNDS, 4, STEP)[0]
+    return boosting.impute_zones(rows, known)[0]
 
 
 def _model_rows(s):
@@ -904,7 +901,7 @@ def _model_rows(s):
 def _open_model(s):
     def build():
         rows = _model_rows(s)[1].filter(F.col("orpsp_target").isNotNull() & ~F.col("is_test"))
-        return boosting.train_open_classifier(rows, ROUNDS, step=STEP)
+        return boosting.train_open_classifier(rows)
 
     return _once(s, "open-model", build)
 
@@ -928,7 +925,7 @@ def feature_importance(s):
 def _time_model(s):
     def build():
         rows = _model_rows(s)[1].filter(~F.col("is_test"))
-        return boosting.train_route_time(rows, ROUNDS, 4, STEP)
+        return boosting.train_route_time(rows)
 
     return _once(s, "time-model", build)
 
