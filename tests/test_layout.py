@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import QUERIES
 from routeforge.operators import exemplars, nearest, zones
+from routeforge.sources import files
 from routeforge.sources.season import Season
 
 FRAMELESS = [
@@ -97,3 +98,13 @@ def test_cost_is_the_same_by_both_ways(spark, monkeypatch):
     monkeypatch.setattr(exemplars, "FEW", 0)
     many = exemplars.clustering_cost(features, known).first()
     assert (few["exemplars"], few["cost"]) == (many["exemplars"], pytest.approx(many["cost"]))
+
+
+def test_tracking_files_are_compressed_and_whole(spark, folder, tmp_path):
+    frames = Season(spark, folder).tracking().filter("week is not null")
+    files.write_tracking(frames, str(tmp_path))
+    written = [p for p in tmp_path.rglob("part-*")]
+    assert written and all(p.name.endswith(".csv.gz") for p in written)
+    back = files.read_tracking(spark, str(tmp_path))
+    assert back.count() == frames.count()
+    assert back.select(frames.columns).exceptAll(frames).isEmpty()
