@@ -29,8 +29,10 @@ SHINGLE = 9
 PERCENT = 80
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
 BANDS, ROWS = 16, 4
-BINS = BANDS * ROWS
+BINS = BANDS * ROWS  # a power of two
 SLICE = 2_000_000
+#: Characters hashed at a time.
+BLOCK = 128_000
 _EMPTY = np.uint64(2**64 - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -74,7 +76,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash of n sets, each with at least one hash: (n, BINS)."""
     least = np.full(n * BINS, _EMPTY, np.uint64)
-    np.minimum.at(least, owner * BINS + (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS))
+    np.minimum.at(least, owner * BINS + (hashes & np.uint64(BINS - 1)).view(np.int64), hashes >> np.uint64(BINS.bit_length() - 1))
     table = least.reshape(n, BINS)
     own = table.copy()
     rows, bins = np.nonzero(own == _EMPTY)
@@ -97,6 +99,18 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     return keys
 
 
+def line_keys(lines: pa.Array) -> np.ndarray:
+    """(n, BANDS) join keys of lines of one or more whole shingles, made for few lines at a time, so that they fit a core's cache."""
+    sizes = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = np.cumsum(sizes) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(lines)]
+    made = [np.zeros((0, BANDS), np.uint64)]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        part = lines.slice(start, end - start)
+        made.append(band_keys(signatures(*_shingles(part, SHINGLE), len(part))))
+    return np.concatenate(made)
+
+
 SIGNED = "doc_id long, text_hash long, lines array<long>, fresh array<long>, keys array<long>"
 
 
@@ -114,8 +128,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             blank = pc.binary_length(pc.ascii_trim_whitespace(lines)).to_numpy(zero_copy_only=False) == 0
             sizes = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
             long_ = np.flatnonzero((sizes >= SHINGLE) & ~blank)
-            hashes, owner = _shingles(lines.take(pa.array(long_)), SHINGLE)
-            keys = band_keys(signatures(hashes, owner, len(long_)))
+            keys = line_keys(lines.take(pa.array(long_)))
             # A line's keys go with the first text of the slice that has it.
             line_of = np.repeat(np.arange(n), np.diff(offsets))
             first = np.zeros(len(lines), np.int64)
@@ -141,9 +154,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 def _similar_lines(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(id, component) of the lines that are similar to others."""
-    members = signed.select("fresh", F.posexplode("keys").alias("at", "key")).select(
-        "key", F.expr(f"fresh[CAST(at DIV {BANDS} AS INT)]").alias("id")
-    )
+    members = signed.select(F.col("fresh").alias("ids"), "keys")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))

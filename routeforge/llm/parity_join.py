@@ -190,7 +190,7 @@ def _set_classes(docs: DataFrame, rows: DataFrame, percent: int, width: int) ->
     equal = stage_table(equal, "equal-sets")
     copies = named.select("row", "n", "h1", "h2").join(equal, ["n", "h1", "h2"]).where("row <> node").select("row")
     distinct = named.join(broadcast_if_small(stage_table(copies, "copies")), "row", "left_anti")
-    members = distinct.select(F.explode("keys").alias("key"), F.col("row").alias("id"))
+    members = distinct.select(F.array("row").alias("ids"), "keys")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         needed = rows.select(F.col("row").alias("id"), "doc_id", "text_hash").join(broadcast_if_small(ids), "id")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ STAR_ROUNDS = 3
 STAR_DRAWS = 4
 STAR_YIELD = 10
 SLICE = 2_000_000
+#: Keys sorted at a time, and keys a task keeps (16 bytes each). They bound memory only.
+KEYS_PER_SLICE = 1_000_000
+KEYS_PER_TASK = 1_000_000
 
 
 @dataclass
@@ -167,9 +171,123 @@ def possible_links(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return left.where(F.col("least") <= LONG_SETS).select("a", "b").unionByName(near.select("a", "b"))
 
 
+def _pairs(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows (key, id) of a batch of (ids, keys), in which each id has an equal share of its row's keys, in order. Keys are put through a
+    bijection, so that they are spread evenly."""
+    ids, keys = batch.column("ids"), batch.column("keys")
+    n_ids, n_keys = (pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ids, keys))
+    flat_ids, flat_keys = (c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (ids, keys))
+    share = np.repeat(n_keys // np.maximum(n_ids, 1), n_ids)
+    return np.stack([mix(flat_keys, 335), np.repeat(flat_ids, share)], axis=1)
+
+
+def _by_key(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pairs`` in the order of their keys, and where each key starts."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    new = np.ones(len(pairs), bool)
+    new[1:] = pairs[1:, 0] != pairs[:-1, 0]
+    return pairs, np.flatnonzero(new)
+
+
+def _packed(pairs: np.ndarray, buckets: np.ndarray, settled: bool) -> pa.RecordBatch:
+    """One row (bucket, settled, pack) for each run of equal ``buckets``."""
+    new = np.ones(len(buckets), bool)
+    new[1:] = buckets[1:] != buckets[:-1]
+    starts = np.flatnonzero(new)
+    ends = pa.array(np.append(starts, len(pairs)) * 16, pa.int32())
+    packs = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(pairs))])
+    return pa.record_batch([pa.array(buckets[starts], pa.int32()), pa.array(np.full(len(starts), settled)), packs], ["bucket", "settled", "pack"])
+
+
+def shared_keys(members: DataFrame) -> DataFrame:
+    """(key, id) of the keys of ``members`` (ids, keys) that more than one id has; rows may repeat.
+
+    Most keys have one id only, so keys travel once, packed by key range. A pack's task has each of its keys' first id and lets the others
+    through as they come. A key that several ids of one slice share is known to be shared there: only two of its ids
+    go to the key's own task, and the others to any task, so that no task gets all rows of a frequent key.
+    """
+    rows = members.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    buckets = max(rows // KEYS_PER_TASK + 1, members.sparkSession.sparkContext.defaultParallelism)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered((_pairs(b) for b in batches), KEYS_PER_SLICE):
+            pairs, starts = _by_key(part)
+            sizes = np.diff(np.append(starts, len(pairs)))
+            group = np.repeat(np.arange(len(starts)), sizes)
+            other = pairs[:, 1] != pairs[starts, 1][group]
+            first_other = np.zeros(len(pairs), bool)
+            places = np.flatnonzero(other)
+            first_other[places[np.unique(group[places], return_index=True)[1]]] = True
+            rest = pairs[other & ~first_other]
+            first_other[starts] = True
+            sent = pairs[first_other]
+            yield _packed(sent, ((sent[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), False)
+            if len(rest):
+                yield _packed(rest, np.arange(len(rest), dtype=np.int64) * buckets // len(rest), True)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros((0, 2), np.uint64)  # keys met, in order, each with its first id
+        told = np.zeros(0, bool)  # whether that id was given out
+
+        def given(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["key", "id"])
+
+        def unpacked(batch: pa.RecordBatch, settled: bool) -> np.ndarray:
+            packs = batch.filter(pc.equal(batch.column("settled"), settled)).column("pack").to_pylist()
+            return np.frombuffer(b"".join(packs), np.uint64).reshape(-1, 2)
+
+        def open_pairs() -> Iterator[np.ndarray]:
+            for batch in batches:
+                ready.append(unpacked(batch, True))
+                yield unpacked(batch, False)
+
+        ready: list[np.ndarray] = []
+        for part in _gathered(open_pairs(), KEYS_PER_SLICE):
+            while ready:
+                yield given(ready.pop())
+            pairs, starts = _by_key(part)
+            keys = pairs[starts]
+            at = np.searchsorted(known[:, 0], keys[:, 0])
+            old = np.zeros(len(keys), bool)
+            inside = at < len(known)
+            old[inside] = known[at[inside], 0] == keys[inside, 0]
+            first = keys[:, 1].copy()
+            first[old] = known[at[old], 1]
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pairs))))
+            other = pairs[:, 1] != first[group]
+            shared = np.zeros(len(keys), bool)
+            shared[group[other]] = True
+            untold = shared.copy()
+            untold[old] &= ~told[at[old]]
+            yield given(np.concatenate([pairs[other], np.stack([keys[untold, 0], first[untold]], axis=1)]))
+            told[at[old & shared]] = True
+            known = np.concatenate([known, np.stack([keys[~old, 0], first[~old]], axis=1)])
+            told = np.concatenate([told, shared[~old]])
+            order = np.argsort(known[:, 0], kind="stable")
+            known, told = known[order], told[order]
+        while ready:
+            yield given(ready.pop())
+
+    packs = members.select("ids", "keys").mapInArrow(pack, "bucket int, settled boolean, pack binary")
+    return packs.repartition(buckets, "bucket").mapInArrow(several, "key long, id long")
+
+
+def _gathered(parts: Iterator[np.ndarray], limit: int) -> Iterator[np.ndarray]:
+    """The rows of ``parts``, about ``limit`` at a time."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        for at in range(0, len(part), limit):
+            held.append(part[at : at + limit])
+            if sum(map(len, held)) >= limit:
+                yield np.concatenate(held)
+                held = []
+    if held:
+        yield np.concatenate(held)
+
+
 def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
-    """(id, component) over the pairs of ``members`` (key, id; rows may repeat) that share a key and whose sets have a
-    Jaccard similarity of ``percent`` or more. ``fetch`` gives the texts (id, text) of a table of ids, and ``sets_of`` their sets.
+    """(id, component) over the pairs of ``members`` (ids, keys: arrays in which each id has an equal share of the keys, in order;
+    ids may repeat) that share a key and whose sets have a Jaccard similarity of ``percent`` or more. ``fetch`` gives the texts (id, text) of a table of ids, and ``sets_of`` their sets.
 
     Every pair that shares a key is either ruled out by its sizes or sketches, or verified, or lies in one component already, so
     no component is split:
@@ -183,13 +301,7 @@ def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
 
 
 def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
-    # Only the keys are counted, and their shuffle is freed before the larger one with ids. The keys held by several are few: they are hashed, so
-    # that the many rows beside them need no sort.
-    shared = members.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    shared = stage_table(shared, "shared-keys").hint("shuffle_hash")
-    live = stage_table(members.join(shared, "key", "left_semi").distinct(), "shared-keys")
-    several = live.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    live = stage_table(live.join(several, "key"), "shared-keys")
+    live = stage_table(shared_keys(members).distinct(), "shared-keys")
     texts = stage_table(fetch(stage_table(live.select("id").distinct(), "candidate-ids")), "candidate-texts")
     sketches = stage_table(parity_sketches(texts, sets_of), "candidate-sketches")
 
