@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of
-from routeforge.llm.components import components
+from routeforge.llm.components import components, joined_components
 from routeforge.session import stage_scope, stage_table
 
 #: Pairs whose common member's text is sent once.
@@ -33,7 +33,7 @@ STAR_DRAWS = 4
 STAR_YIELD = 10
 SLICE = 2_000_000
 #: Keys sorted at a time, and keys a task keeps (16 bytes each). They bound memory only.
-KEYS_PER_SLICE = 1_000_000
+KEYS_PER_SLICE = 250_000
 KEYS_PER_TASK = 1_000_000
 
 
@@ -315,7 +315,6 @@ def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_o
         )
 
     tested: DataFrame | None = None
-    links: DataFrame | None = None
     found = placed = None
     outside = live
     for turn in range(STAR_ROUNDS):
@@ -333,9 +332,8 @@ def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_o
         tested = pairs.select("lo", "hi") if tested is None else tested.union(pairs.select("lo", "hi"))
         new = links_of(possible_links(pairs, sketches, percent))
         n_new = new.count()
-        if links is None or n_new:
-            links = new if links is None else links.union(new)
-            found = stage_table(components(links), "components")
+        if found is None or n_new:
+            found = stage_table(components(new) if found is None else joined_components(found, new), "components")
             placed = live.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("held"))
             main = sizes.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts"), F.sum("held").alias("ids"))
@@ -353,4 +351,4 @@ def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_o
     rest = left.join(right, condition).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
     rest = rest.join(tested, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     new = links_of(possible_links(rest, sketches, percent))
-    return found if new.isEmpty() else components(links.union(new))
+    return found if new.isEmpty() else joined_components(found, new)

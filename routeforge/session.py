@@ -33,6 +33,9 @@ _RUNTIME = {
 
 # Drops the shuffle files of a write when it has ended, in place of when the driver next collects garbage.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Bytes of rows that go to a Python worker at a time. Spark's own bound, 64 MB, is held several times over by each
+# task: in the JVM's buffers and in the worker's arrays.
+_BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 _local_scratch: str | None = None
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("stage_scopes", default=())
@@ -75,6 +78,22 @@ def _stage_folder(spark: SparkSession) -> str:
     return f"{scratch_folder(spark)}/routeforge-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has ``values`` inside, and its own again at the end."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -88,12 +107,8 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     scopes = _scopes.get()[: -1 if keep else None]
     if scopes:
         scopes[-1].append(path)
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with _settings(spark, {_FREE_SHUFFLES: "true", **_BATCH_BYTES}):
         df.write.partitionBy(*(partition_by or [])).parquet(path)
-    finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,15 +118,11 @@ def stage_buckets(parts: list[DataFrame], name: str, keys: list[str], buckets: i
     spark = parts[0].sparkSession
     unique = f"{name}-{uuid.uuid4().hex}"
     table = f"routeforge_{unique}".replace("-", "_")
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with _settings(spark, {_FREE_SHUFFLES: "true"}):
         for part in parts:
             placed = part.repartition(buckets, *keys)
             writer = placed.write.format("parquet").mode("append").option("path", f"{_stage_folder(spark)}/{unique}")
             writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
-    finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.table(table)
 
 
