@@ -9,6 +9,10 @@ Size bands grow by a quarter; a document that can link to a larger one in the ne
 falls into says nothing and is not entered. A band therefore has some parts more than D + 1; a document with more empty parts than
 that is entered again under other hashes, until it has few enough. Of two documents, the one that stops first then has a non-empty equal part under a sketch
 that both have.
+
+A part of few shingles is equal by chance in the more documents, the more there are. Bands therefore have an eighth more parts than D + 1: all
+non-empty parts but as many as the sets can differ in are equal in linked documents, so a document that has fewer in common with others is left out,
+and as many but one of its most frequent keys are not needed.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ PERCENT = 90
 #: Bits in a part of a sketch.
 PART_BITS = 4096
 GROWTH = 1.25
+#: A band has one part in so many more than the least number.
+MORE_PARTS = 8
 #: Bytes of text whose sets a worker makes at a time.
 SLICE = 2_000_000
 
@@ -73,10 +79,11 @@ def size_bands(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     for first, end in zip(firsts[:-1], firsts[1:], strict=True):
         least = 2 * (end - 1) * (100 - percent) // (100 + percent) + 1
         # As many more as the smallest set entered here leaves empty, so that few sets need other hashes.
-        smallest, m, before = max(1, -(-percent * first // 100)), least, 0
+        more = least + least // MORE_PARTS
+        smallest, m, before = max(1, -(-percent * first // 100)), more, 0
         while least > 1 and m != before:
             empty, before = m * np.exp(-smallest / m), m
-            m = min(2 * least, max(m, least + int(empty + 3 * np.sqrt(empty))))  # small bands have no fixed point below
+            m = min(2 * least, max(m, more + int(empty + 3 * np.sqrt(empty))))  # small bands have no fixed point below
         parts.append(m)
     return np.array(firsts[:-1], np.int64), np.array(parts, np.int64)
 
@@ -88,9 +95,16 @@ def spare_parts(first: int, end: int, parts: int, percent: int) -> int:
 
 def sketch_keys(sets: Sets, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of all sets, and the place of the set each belongs to (in order)."""
+    return sketches_of(sets, percent)[:2]
+
+
+def sketches_of(sets: Sets, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`sketch_keys`, and for each set how many of its even and how many of its odd keys it shares at least with any set
+    that it links to through such keys. Keys of bands of even number are even, others odd; a set is in at most one band of each."""
     sizes = sets.sizes
+    needs = np.full((len(sizes), 2), np.iinfo(np.int32).max, np.int32)
     if not len(sets.hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), needs
     firsts, parts = size_bands(int(sizes.max()), percent)
     ends = np.append(firsts[1:], max(firsts[-1] + 1, int(np.ceil(firsts[-1] * GROWTH))))
     spare = parts - (2 * (ends - 1) * (100 - percent) // (100 + percent) + 1)
@@ -117,23 +131,29 @@ def sketch_keys(sets: Sets, percent: int = PERCENT) -> tuple[np.ndarray, np.ndar
             place = np.repeat(np.arange(len(who)), m)
             number = np.arange(len(word)) - base[place]
             name = mix((chosen[who][place].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64), 7000 + seed)
-            keys.append(mix(word[filled] ^ name[filled], 8))
+            kind = chosen[who] & 1
+            key = mix(word[filled] ^ name[filled], 8)
+            keys.append((key & ~np.uint64(1)) | kind[place[filled]].astype(np.uint64))
             owners.append(who[place[filled]])
-            empty = m - np.bincount(place[filled], minlength=len(who))
+            full = np.bincount(place[filled], minlength=len(who))
+            # Linked sets differ in at most so many elements, and in no more parts.
+            differ = (lengths + np.minimum(ends[chosen[who]] - 1, 100 * lengths // percent)) * (100 - percent) // (100 + percent)
+            needs[who, kind] = np.minimum(needs[who, kind], np.maximum(full - differ, 1))
+            empty = m - full
             who, seed = who[empty > spare[chosen[who]]], seed + 1
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return key[order], owner[order]
+    return key[order], owner[order], needs
 
 
-SKETCHES = "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"
+SKETCHES = "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>, even int, odd int"
 
 
 def _sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, "text", SLICE):
             sets = shingle_sets(texts_of(table), width)
-            key, owner = sketch_keys(sets, percent)
+            key, owner, needs = sketches_of(sets, percent)
             n = table.num_rows
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
             sums = []
@@ -149,8 +169,9 @@ def _sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
                     pa.array(sums[0]),
                     pa.array(sums[1]),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64))),
+                    *[pa.array(np.ascontiguousarray(needs[:, k])) for k in (0, 1)],
                 ],
-                ["doc_id", "text_hash", "n", "h1", "h2", "keys"],
+                ["doc_id", "text_hash", "n", "h1", "h2", "keys", "even", "odd"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -169,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         sketched = _sketches(docs, percent, width).withColumn("row", F.monotonically_increasing_id())
         sketched = stage_table(sketched, "sketches")  # the row numbers are fixed by writing them
         classes = stage_table(_set_classes(docs, sketched, percent, width), "classes", keep=True)
-        rows = stage_table(sketched.drop("keys"), "rows", keep=True)
+        rows = stage_table(sketched.drop("keys", "even", "odd"), "rows", keep=True)
     joined = rows.join(classes, ["n", "h1", "h2"], "left")
     alone = F.col("n") == 0
     return joined.select(
@@ -200,7 +221,8 @@ def _set_classes(docs: DataFrame, rows: DataFrame, percent: int, width: int) ->
         same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash"))
         return source.join(asked, same).select("id", "text").dropDuplicates(["id"])
 
-    found = classes_by_keys(members, texts_of, lambda texts: shingle_sets(texts, width), percent)
+    needs = rows.select(F.col("row").alias("id"), "even", "odd")
+    found = classes_by_keys(members, texts_of, lambda texts: shingle_sets(texts, width), percent, needs)
     classes = equal.join(found, equal["node"] == found["id"], "left").withColumn("root", F.coalesce("component", "node"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("keeper"))
     return classes.join(roots, "root").select("n", "h1", "h2", "component_id", roots["keeper"]["row"].alias("kept_row"))

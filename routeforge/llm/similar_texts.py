@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeforge.llm.arrow_text import mix, slices, texts_of
@@ -172,13 +172,14 @@ def possible_links(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 
 def _pairs(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows (key, id) of a batch of (ids, keys), in which each id has an equal share of its row's keys, in order. Keys are put through a
-    bijection, so that they are spread evenly."""
+    """Rows (key, id) of a batch of (ids, keys), in which each id has an equal share of its row's keys, in order. Keys are mixed, so that
+    they are spread evenly; only their last bit stays."""
     ids, keys = batch.column("ids"), batch.column("keys")
     n_ids, n_keys = (pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ids, keys))
     flat_ids, flat_keys = (c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (ids, keys))
     share = np.repeat(n_keys // np.maximum(n_ids, 1), n_ids)
-    return np.stack([mix(flat_keys, 335), np.repeat(flat_ids, share)], axis=1)
+    mixed = (mix(flat_keys, 335) & ~np.uint64(1)) | (flat_keys & np.uint64(1))
+    return np.stack([mixed, np.repeat(flat_ids, share)], axis=1)
 
 
 def _by_key(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,6 +200,19 @@ def _packed(pairs: np.ndarray, buckets: np.ndarray, settled: bool) -> pa.RecordB
     return pa.record_batch([pa.array(buckets[starts], pa.int32()), pa.array(np.full(len(starts), settled)), packs], ["bucket", "settled", "pack"])
 
 
+def _in_planes(packed: pa.RecordBatch) -> pa.RecordBatch:
+    """``packed`` with the first bytes of all pairs of a pack before the second ones, and so on: most bytes of sorted keys and of ids are alike, so
+    a pack travels in little more than half its size."""
+    packs = [np.frombuffer(p, np.uint8).reshape(-1, 16).T.tobytes() for p in packed.column("pack").to_pylist()]
+    return pa.record_batch([packed.column("bucket"), packed.column("settled"), pa.array(packs, pa.binary())], ["bucket", "settled", "pack"])
+
+
+def _from_planes(packs: list[bytes]) -> np.ndarray:
+    """The rows (key, id) of packs in planes."""
+    rows = [np.frombuffer(p, np.uint8).reshape(16, -1).T for p in packs]
+    return np.ascontiguousarray(np.concatenate([np.zeros((0, 16), np.uint8), *rows])).view(np.uint64)
+
+
 def shared_keys(members: DataFrame) -> DataFrame:
     """(key, id) of the keys of ``members`` (ids, keys) that more than one id has; rows may repeat.
 
@@ -221,9 +235,9 @@ def shared_keys(members: DataFrame) -> DataFrame:
             rest = pairs[other & ~first_other]
             first_other[starts] = True
             sent = pairs[first_other]
-            yield _packed(sent, ((sent[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), False)
+            yield _in_planes(_packed(sent, ((sent[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), False))
             if len(rest):
-                yield _packed(rest, np.arange(len(rest), dtype=np.int64) * buckets // len(rest), True)
+                yield _in_planes(_packed(rest, np.arange(len(rest), dtype=np.int64) * buckets // len(rest), True))
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros((0, 2), np.uint64)  # keys met, in order, each with its first id
@@ -233,8 +247,7 @@ def shared_keys(members: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["key", "id"])
 
         def unpacked(batch: pa.RecordBatch, settled: bool) -> np.ndarray:
-            packs = batch.filter(pc.equal(batch.column("settled"), settled)).column("pack").to_pylist()
-            return np.frombuffer(b"".join(packs), np.uint64).reshape(-1, 2)
+            return _from_planes(batch.filter(pc.equal(batch.column("settled"), settled)).column("pack").to_pylist())
 
         def open_pairs() -> Iterator[np.ndarray]:
             for batch in batches:
@@ -285,23 +298,48 @@ def _gathered(parts: Iterator[np.ndarray], limit: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def classes_by_keys(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
+def _promising(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows (key, id) of ``shared`` through which linked ids still meet, if ids that link through keys of one kind (last bit of the key) have as many of
+    these in common as ``needs`` (id, even, odd) says of each; rows may repeat.
+
+    An id with fewer shared keys of a kind loses them. Of the others all but the most frequent ones are kept, one fewer than it needs: in an order of all keys
+    the first one that linked ids have in common is among the kept ones of each.
+    """
+    odd = F.col("key").bitwiseAND(1) == 1
+    held = shared.groupBy("id").agg(F.count_if(~odd).alias("evens"), F.count_if(odd).alias("odds")).join(needs, "id")
+    enough = held.where("evens >= even or odds >= odd").select("id", *[F.when(F.col(f"{k}s") >= F.col(k), F.col(k)).alias(k) for k in ("even", "odd")])
+    enough = stage_table(enough, "promising-ids")
+    live = shared.join(enough, "id").select("key", "id", F.when(odd, F.col("odd")).otherwise(F.col("even")).alias("least")).where("least is not null")
+    live = stage_table(live, "promising-keys")
+    live = live.join(live.groupBy("key").agg(F.count("*").alias("ids")).where("ids > 1"), "key")
+    kind = Window.partitionBy("id", odd)  # at most one text's keys
+    place = F.row_number().over(kind.orderBy(F.col("ids").desc(), F.col("key").desc()))
+    return live.withColumn("place", place).where("place >= least").select("key", "id")
+
+
+def classes_by_keys(
+    members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int, needs: DataFrame | None = None
+) -> DataFrame:
     """(id, component) over the pairs of ``members`` (ids, keys: arrays in which each id has an equal share of the keys, in order;
     ids may repeat) that share a key and whose sets have a Jaccard similarity of ``percent`` or more. ``fetch`` gives the texts (id, text) of a table of ids, and ``sets_of`` their sets.
 
     Every pair that shares a key is either ruled out by its sizes or sketches, or verified, or lies in one component already, so
-    no component is split:
+    no component is split. ``needs`` (id, even, odd), if given, tells how many keys with an even and how many with an odd number an id has
+    at least in common with any that it links to through such keys:
 
     1. In a few rounds, a key's ids outside its largest component (at first, all) are compared with few of them: the least, then some
        drawn from the largest component.
     2. Where a key then still holds several components, the ids outside the largest are compared with those of other components.
     """
     with stage_scope(members.sparkSession):
-        return stage_table(_classes(members, fetch, sets_of, percent), "classes", keep=True)
+        return stage_table(_classes(members, fetch, sets_of, percent, needs), "classes", keep=True)
 
 
-def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int) -> DataFrame:
-    live = stage_table(shared_keys(members).distinct(), "shared-keys")
+def _classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets_of: SetsOf, percent: int, needs: DataFrame | None) -> DataFrame:
+    live = shared_keys(members)
+    if needs is not None:
+        live = _promising(stage_table(live, "shared-keys"), needs)
+    live = stage_table(live.distinct(), "live-keys")
     texts = stage_table(fetch(stage_table(live.select("id").distinct(), "candidate-ids")), "candidate-texts")
     sketches = stage_table(parity_sketches(texts, sets_of), "candidate-sketches")
 
