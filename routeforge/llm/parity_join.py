@@ -41,7 +41,7 @@ GROWTH = 1.25
 #: A band has one part in so many more than the least number.
 MORE_PARTS = 8
 #: Bytes of text whose sets a worker makes at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Sets:

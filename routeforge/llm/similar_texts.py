@@ -34,7 +34,7 @@ STAR_YIELD = 10
 SLICE = 2_000_000
 #: Keys sorted at a time, and keys a task keeps (16 bytes each). They bound memory only.
 KEYS_PER_SLICE = 250_000
-KEYS_PER_TASK = 1_000_000
+KEYS_PER_TASK = 500_000
 
 
 @dataclass
