@@ -14,7 +14,7 @@ def path(who, last, **extra):
     return [(who, f, f + f * f / 64, 10 + f % 7, extra.get(f"f{f}", {})) for f in range(8, last + 1)]
 
 
-@pytest.mark.parametrize("name", ["route_features", "position_features", "relative_route", "route_name_zones"])
+@pytest.mark.parametrize("name", ["route_features", "position_features", "relative_route"])
 def test_frames_are_made_once_for_each_phase(spark, folder, name):  # noqa: F811
     """Frames before the snap and frames after it: each is made once."""
     season = Season(spark, folder)
@@ -52,9 +52,12 @@ def test_lists_give_the_features_of_rows(spark):
 def test_a_runner_there_twice_counts_twice(spark):
     data = frames(spark, path(1, 30, f12={"event": "pass_arrived"}))
     once, twice = (player_play(spark, [(1, 1, "GO", 1)] * n) for n in (1, 2))
+    columns = ["frameId", "event", "route_left", "relative_x", "relative_y", "route_frameId"]
     for weighted in (True, False):
-        one, two = (T.standard_routes(data, people, weighted=weighted) for people in (once, twice))
+        one, two = (T.unlisted(T.standard_routes(data, people, listed=True), weighted) for people in (once, twice))
+        assert rows(one, *columns) == rows(T.standard_routes(data, once, weighted=weighted), *columns)
         assert one.filter("frameId > 12").isEmpty() and one.filter("event = 'pass_arrived'").count() == 1
         total = "sum(copies)" if weighted else "count(*)"
         # Twice as a runner on the way to the list, twice at it, and the arrival four times.
         assert two.selectExpr(total).first()[0] == 16 * one.selectExpr(total).first()[0]
+        assert T.standard_routes(data, twice, weighted=weighted).selectExpr(total).first()[0] == two.selectExpr(total).first()[0]
